@@ -187,3 +187,79 @@ def hash_key(seed: int, *parts: str) -> str:
 def distance(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return (f"(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + "
             f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))")
+
+
+def sample_ctes() -> str:
+    """CTE 'samples': the labelled sentences of ``roles.samples``."""
+    from railweave.operators import training as K
+
+    def floor(n: str, share: float) -> str:
+        return f"floor({n} * {share}::DOUBLE)::BIGINT"
+
+    def rest(n: str, shares) -> str:
+        return f"{n} - " + " - ".join(floor(n, s) for _, s in shares if s is not None)
+
+    cells = []
+    for lang, share in K.TRIP_SHARES:
+        n = f"({floor('trip', share) if share is not None else rest('trip', K.TRIP_SHARES)})"
+        if lang == "MIXED":
+            cells.append(("TRIP", lang, "regular", n))
+            continue
+        stops = floor(n, 0.15)
+        cut = floor(n, K.TRUNCATED_SHARE) if lang == "FRENCH" else "0"
+        small = floor(n, K.MINIMAL_SHARE) if lang == "FRENCH" else "0"
+        cells += [("TRIP", lang, "regular", f"{n} - {stops} - {cut} - {small}"),
+                  ("TRIP", lang, "minimal", small), ("TRIP", lang, "intermediate", stops),
+                  ("TRIP", lang, "truncated", cut)]
+    for lang, share in K.NOT_TRIP_SHARES:
+        n = floor("other", share) if share is not None else rest("other", K.NOT_TRIP_SHARES)
+        cells.append(("NOT_TRIP", lang, "regular", n))
+    cells.append(("UNKNOWN", "UNKNOWN", "regular", "total - trip - other"))
+    rows = ", ".join(
+        f"{{'c': {i}, 'intent': '{a}', 'language': '{b}', 'kind': '{k}', 'n': ({n})::BIGINT}}"
+        for i, (a, b, k, n) in enumerate(cells))
+    templates = ", ".join(f"({', '.join(map(quoted, t))})" for t in K.TEMPLATES)
+
+    def draw(step: str) -> str:
+        return hash_int(42, quoted(step), "sentence_id")
+
+    def used(slot: str) -> str:
+        return (f"CASE WHEN intent = 'TRIP' AND contains(template, '{{{slot}}}') "
+                f"THEN coalesce({slot}.place, '') ELSE '' END")
+
+    return f"""
+quota0 AS (SELECT total, {floor('total', 0.74)} AS trip, {floor('total', 0.25)} AS other
+  FROM (SELECT count(*) AS total FROM orders)),
+quota1 AS (SELECT unnest([{rows}]) AS r FROM quota0),
+quota AS (SELECT r.intent, r.language, r.kind, r.n, sum(r.n) OVER (ORDER BY r.c) - r.n AS start_no,
+  sum(r.n) OVER (ORDER BY r.c) AS end_no FROM quota1),
+choices AS (SELECT intent, language, kind, list(template ORDER BY template) AS ts
+  FROM (VALUES {templates}) t(intent, language, kind, template) GROUP BY 1, 2, 3),
+pool AS (SELECT place, row_number() OVER (ORDER BY {hash_key(0, 'place')}) - 1 AS idx, count(*) OVER () AS n
+  FROM (SELECT DISTINCT p_name AS place FROM part)),
+asked AS (SELECT 'BASE' || lpad((o_orderkey + 1)::VARCHAR, greatest(6, length((o_orderkey + 1)::VARCHAR))::INT, '0') AS sentence_id,
+  o_orderkey AS row_no FROM orders),
+draw0 AS (SELECT a.sentence_id, a.row_no, q.intent, q.language, q.kind, (SELECT max(n) FROM pool) AS n, ts
+  FROM asked a JOIN quota q ON a.row_no >= q.start_no AND a.row_no < q.end_no
+  JOIN choices c ON c.intent = q.intent AND c.language = q.language AND c.kind = q.kind),
+draw1 AS (SELECT *, ts[1 + {draw('template')} % len(ts)] AS template, {draw('dep')} % n AS i_dep FROM draw0),
+draw2 AS (SELECT *, (i_dep + 1 + {draw('via')} % (n - 1)) % n AS i_via, {draw('dest')} % (n - 2) AS d0 FROM draw1),
+draw3 AS (SELECT *, d0 + CASE WHEN d0 >= least(i_dep, i_via) THEN 1 ELSE 0 END AS d1 FROM draw2),
+draw4 AS (SELECT *, d1 + CASE WHEN d1 >= greatest(i_dep, i_via) THEN 1 ELSE 0 END AS i_dest FROM draw3),
+samples AS (SELECT sentence_id, row_no, intent, language, kind,
+  replace(replace(replace(template, '{{dep}}', dep.place), '{{via}}', via.place), '{{dest}}', dest.place) AS sentence,
+  {used('dep')} AS departure, {used('dest')} AS destination, {used('via')} AS intermediate
+  FROM draw4 LEFT JOIN pool dep ON dep.idx = i_dep LEFT JOIN pool via ON via.idx = i_via LEFT JOIN pool dest ON dest.idx = i_dest)"""
+
+
+def class_metrics(source: str, keys: str = "") -> str:
+    """CTE 'metrics'(keys, class, tp, fp, fn, tn, precision, recall, f1, support) over
+    ``source`` (keys, class, t, p) where t and p say whether truth and prediction are the class."""
+    k = f"{keys}, " if keys else ""
+    return f"""
+counts AS (SELECT {k}class, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp,
+  count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM {source} GROUP BY {k}class),
+ratios AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision,
+  CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall FROM counts),
+metrics AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END::DOUBLE AS f1,
+  tp + fn AS support FROM ratios)"""

@@ -124,7 +124,7 @@ def punctuation_strip(spark, sf):
 
 @query("clean_pipeline", f"""
 SELECT doc_id, md5({S.clean_text('text')}) AS plain,
-  md5({S.strip("regexp_replace(regexp_replace(lower(strip_accents(" + S.clean_text('text') + ")), '[^\\w\\s''-]', '', 'g'), '[\\t\\n\\r\\f\\v ]+', ' ', 'g')")}) AS strict
+  md5({S.strip("regexp_replace(regexp_replace(lower(strip_accents(" + S.clean_text('text') + ")), '[^\\w\\s''\\p{L}\\p{N}-]', '', 'g'), '[\\t\\n\\r\\f\\v ]+', ' ', 'g')")}) AS strict
 FROM documents""")
 def clean_pipeline(spark, sf):
     """B10 with the default switches and with all of them."""
@@ -429,7 +429,7 @@ def sentence_code(spark, sf):
 NGRAM = r"""
 padded AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' AS t FROM documents),
 grams AS (SELECT doc_id, lang, substr(t, i, 3) AS gram, count(*) AS n
-  FROM (SELECT doc_id, lang, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM padded) GROUP BY 1, 2, 3),
+  FROM (SELECT doc_id, lang, t, unnest(range(1, length(t) - 1)) AS i FROM padded) GROUP BY 1, 2, 3),
 per_lang AS (SELECT lang, gram, sum(n) AS n FROM grams GROUP BY 1, 2),
 totals AS (SELECT lang, sum(n) AS total FROM per_lang GROUP BY 1),
 vocab AS (SELECT count(DISTINCT gram) AS v FROM per_lang),
@@ -466,10 +466,10 @@ PLACES = r"""
 bw AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(text), '[.,]', '', 'g'), '\S+') AS w FROM benchmark),
 place0 AS (SELECT array_to_string(w[1:3], ' ') AS place, item_id AS ord FROM bw UNION ALL SELECT w[2], item_id + 1000000 FROM bw),
 place AS (SELECT lower(place) AS place, min(ord) AS ord FROM place0 WHERE length(place) >= 3 GROUP BY 1),
-cand AS (SELECT doc_id, place, ord, instr(lower(text), place) AS at, lower(text) AS t FROM documents, place WHERE contains(lower(text), place)),
-edge AS (SELECT doc_id, place, ord, at - 1 AS s, at - 1 + length(place) AS e FROM cand
-  WHERE (at = 1 OR contains(E' .,;:!?()[]{}"\'\t\n-', substr(t, at - 1, 1)))
-    AND (at + length(place) > length(t) OR contains(E' .,;:!?()[]{}"\'\t\n-', substr(t, at + length(place), 1))))"""
+cand AS (SELECT doc_id, place, ord, instr(lower(text), place) AS pos, lower(text) AS t FROM documents, place WHERE contains(lower(text), place)),
+edge AS (SELECT doc_id, place, ord, pos - 1 AS s, pos - 1 + length(place) AS e FROM cand
+  WHERE (pos = 1 OR contains(E' .,;:!?()[]{}"\'\t\n-', substr(t, pos - 1, 1)))
+    AND (pos + length(place) > length(t) OR contains(E' .,;:!?()[]{}"\'\t\n-', substr(t, pos + length(place), 1))))"""
 
 # longest first, first come: a candidate is kept unless a kept one before it overlaps
 MENTIONS = f"""WITH RECURSIVE {PLACES},

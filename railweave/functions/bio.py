@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from railweave.functions.text import words
+from railweave.functions.text import bind, words
 
 LABELS = ["O", "B-DEP", "I-DEP", "B-DEST", "I-DEST"]
 TAIL_PUNCTUATION = "[.,!?;:'\"]+$"
@@ -91,14 +91,24 @@ def blank_labels(tokens: Column) -> Column:
 
 def label_exact(tokens: Column, departure: Column, destination: Column) -> Column:
     """K6: first exact windows, case and trailing punctuation aside; no overlap."""
-    plain = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), TAIL_PUNCTUATION, ""))
-    dep = words(F.lower(F.coalesce(departure, F.lit(""))))
-    dest = words(F.lower(F.coalesce(destination, F.lit(""))))
-    dep_start = F.array_min(_starts(plain, dep))
-    free = F.filter(_starts(plain, dest), lambda i: dep_start.isNull() | ~(
-        (i < dep_start + F.size(dep)) & (i + F.size(dest) > dep_start)))
-    labels = _write(blank_labels(tokens), dep_start, F.size(dep), "DEP")
-    return _write(labels, F.array_min(free), F.size(dest), "DEST")
+    parts = F.struct(
+        F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), TAIL_PUNCTUATION, ""))
+        .alias("plain"),
+        words(F.lower(F.coalesce(departure, F.lit("")))).alias("dep"),
+        words(F.lower(F.coalesce(destination, F.lit("")))).alias("dest"))
+
+    def placed(p: Column) -> Column:
+        return F.struct(F.array_min(_starts(p["plain"], p["dep"])).alias("dep"),
+                        F.size(p["dep"]).alias("n_dep"), F.size(p["dest"]).alias("n_dest"),
+                        _starts(p["plain"], p["dest"]).alias("dests"))
+
+    def written(p: Column) -> Column:
+        free = F.filter(p["dests"], lambda i: p["dep"].isNull() | ~(
+            (i < p["dep"] + p["n_dep"]) & (i + p["n_dest"] > p["dep"])))
+        labels = _write(blank_labels(tokens), p["dep"], p["n_dep"], "DEP")
+        return bind(F.array_min(free), lambda f: _write(labels, f, p["n_dest"], "DEST"))
+
+    return bind(bind(parts, placed), written)
 
 
 def normalise_token(token: Column) -> Column:
@@ -110,21 +120,31 @@ def normalise_token(token: Column) -> Column:
 def label_normalised(tokens: Column, departure: Column, destination: Column,
                      intent: Column) -> Column:
     """K7: labels after token normalisation; NULL for a TRIP none of whose slots align."""
-    plain = F.transform(tokens, normalise_token)
-    dep = words(normalise_token(F.coalesce(departure, F.lit(""))))
-    dest = words(normalise_token(F.coalesce(destination, F.lit(""))))
-    dep_start, dest_start = F.array_min(_starts(plain, dep)), F.array_min(_starts(plain, dest))
-    blank = blank_labels(tokens)
-    with_dep = _write(blank, dep_start, F.size(dep), "DEP")
-    # a destination that starts inside the departure is not written
-    inside = dep_start.isNotNull() & (dest_start >= dep_start) & (
-        dest_start < dep_start + F.size(dep))
-    labels = F.when(inside, with_dep).otherwise(
-        _write(with_dep, dest_start, F.size(dest), "DEST", only_free=True))
-    lost = (intent == "TRIP") & dep_start.isNull() & dest_start.isNull() & (
-        (F.size(dep) > 0) | (F.size(dest) > 0))
-    return F.when(F.size(tokens) == 0, F.lit(None).cast("array<string>")).when(
-        intent == "NOT_TRIP", blank).when(~lost, labels)
+    parts = F.struct(
+        F.transform(tokens, normalise_token).alias("plain"),
+        words(normalise_token(F.coalesce(departure, F.lit("")))).alias("dep"),
+        words(normalise_token(F.coalesce(destination, F.lit("")))).alias("dest"))
+
+    def placed(p: Column) -> Column:
+        return F.struct(
+            F.array_min(_starts(p["plain"], p["dep"])).alias("dep"),
+            F.array_min(_starts(p["plain"], p["dest"])).alias("dest"),
+            F.size(p["dep"]).alias("n_dep"), F.size(p["dest"]).alias("n_dest"))
+
+    def written(p: Column) -> Column:
+        blank = blank_labels(tokens)
+        with_dep = _write(blank, p["dep"], p["n_dep"], "DEP")
+        # a destination that starts inside the departure is not written
+        inside = p["dep"].isNotNull() & (p["dest"] >= p["dep"]) & (
+            p["dest"] < p["dep"] + p["n_dep"])
+        labels = F.when(inside, with_dep).otherwise(
+            _write(with_dep, p["dest"], p["n_dest"], "DEST", only_free=True))
+        lost = (intent == "TRIP") & p["dep"].isNull() & p["dest"].isNull() & (
+            p["n_dep"] + p["n_dest"] > 0)
+        return F.when(F.size(tokens) == 0, F.lit(None).cast("array<string>")).when(
+            intent == "NOT_TRIP", blank).when(~lost, labels)
+
+    return bind(bind(parts, placed), written)
 
 
 def location_roles(labels: Column, n_tokens: Column) -> Column:
@@ -143,17 +163,29 @@ def label_by_characters(text: Column, spans: Column, entities: dict[str, Column]
     """K9: tokens that overlap an entity's characters; the longest prefix of at least three
     characters stands in for an entity that is not found whole.  Later entities overwrite.
     """
-    lowered = F.lower(text)
     labels = F.transform(spans, lambda s: F.lit("O"))
     for name, entity in entities.items():
-        value = F.lower(F.coalesce(entity, F.lit("")))
-        # the whole entity counts at any length, its prefixes down to three characters
-        shortest = F.least(F.length(value), F.lit(3))
-        length = F.when(value != "", F.get(F.filter(
-            F.sequence(F.length(value), shortest, F.lit(-1)),
-            lambda k: F.contains(lowered, F.substring(value, F.lit(1), k))), F.lit(0)))
-        start = F.call_function("locate", F.substring(value, F.lit(1), length), lowered) - 1
-        hit = F.filter(positions(spans), lambda i: (F.get(spans, i)["start"] < start + length)
-                       & (F.get(spans, i)["end"] > start))
-        labels = _write(labels, F.when(length.isNotNull(), F.array_min(hit)), F.size(hit), name)
+        labels = _mark_entity(labels, text, spans, entity, name)
     return labels
+
+
+def _mark_entity(labels: Column, text: Column, spans: Column, entity: Column, name: str) -> Column:
+    both = F.struct(F.lower(text).alias("text"),
+                    F.lower(F.coalesce(entity, F.lit(""))).alias("value"))
+
+    def extent(b: Column) -> Column:
+        # the whole entity counts at any length, its prefixes down to three characters
+        n = F.length(b["value"])
+        length = F.when(n > 0, F.get(F.filter(
+            F.sequence(n, F.least(n, F.lit(3)), F.lit(-1)),
+            lambda k: F.contains(b["text"], F.substring(b["value"], F.lit(1), k))), F.lit(0)))
+        return bind(length, lambda k: F.struct(k.alias("length"), (F.call_function(
+            "locate", F.substring(b["value"], F.lit(1), k), b["text"]) - 1).alias("start")))
+
+    def hits(e: Column) -> Column:
+        inside = F.filter(positions(spans), lambda i: (
+            F.get(spans, i)["start"] < e["start"] + e["length"])
+            & (F.get(spans, i)["end"] > e["start"]))
+        return F.when(e["length"].isNotNull(), inside)
+
+    return bind(bind(bind(both, extent), hits), lambda h: _write(labels, F.array_min(h), F.size(h), name))

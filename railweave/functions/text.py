@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,6 +27,15 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
                                    T.StructField("end", T.IntegerType())]))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    A lambda evaluates what it refers to again for every element, so costly values are
+    bound (or kept in a column) before a lambda uses them.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
     """Single accented letters and their base letter, derived from Unicode data."""

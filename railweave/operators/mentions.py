@@ -36,7 +36,7 @@ def find_mentions(docs: DataFrame, places: DataFrame, key: str, text: str = "tex
     found = docs.select(key, F.explode(_tokens(F.lower(text))).alias("token")).join(
         keyed, "token").groupBy(key).agg(
         F.collect_list(F.struct((-F.length("place")).alias("len"), "ord", "place")).alias("places"))
-    value = F.lower(text)
+    value = F.col("_lowered")
     edges = F.lit(W.MENTION_BOUNDARY_CHARS)
 
     def at_edge(position: Column) -> Column:
@@ -58,7 +58,9 @@ def find_mentions(docs: DataFrame, places: DataFrame, key: str, text: str = "tex
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(mention)))
 
     return docs.select(key, text).join(found, key).select(
-        key, F.array_sort(F.aggregate(bounded, empty, keep)).alias("mentions")
+        key, F.lower(text).alias("_lowered"), "places"
+    ).select(key, bounded.alias("_bounded")).select(
+        key, F.array_sort(F.aggregate("_bounded", empty, keep)).alias("mentions")
     ).filter(F.size("mentions") > 0)
 
 
@@ -99,10 +101,10 @@ def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1,
     blocks = max(1, -(-places.count() // block_rows))
     left = queries.select("q", normalised(F.col("vec")).alias("vec"),
                           F.pmod(F.xxhash64("q"), F.lit(slices)).alias("s"),
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("b"))
+                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("b"))
     right = places.select("place", normalised(F.col("vec")).alias("vec"),
                           F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("bigint").alias("b"),
-                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("s"))
+                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).alias("s"))
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:

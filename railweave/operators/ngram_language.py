@@ -14,8 +14,8 @@ SIZE = 3
 def ngrams(text: Column, size: int = SIZE) -> Column:
     """Character n-grams of the lowered text, blanks squeezed, one blank at each end."""
     padded = F.concat(F.lit(" "), squeeze_blanks(F.lower(text)), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1))),
-                       lambda i: F.substring(padded, i, F.lit(size)))
+    # a capturing lookahead reads overlapping runs in one pass over the text
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
 
 def gram_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

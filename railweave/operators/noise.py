@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from railweave.functions import noise_tables as N
 from railweave.functions.bio import TAIL_PUNCTUATION, positions
 from railweave.functions.labels import rename_id
-from railweave.functions.text import words
+from railweave.functions.text import bind, words
 from railweave.operators.scale import hash_int, uniform
 
 
@@ -85,11 +85,14 @@ def rewrite(text: Column, table: dict[str, list[str]], chance: float, dice: Dice
 
 def insert_words(tokens: Column, places: Column, word_at) -> Column:
     """Put ``word_at(position)`` before each listed token position; n means the end."""
-    placed = F.flatten(F.transform(tokens, lambda w, i: F.when(
-        F.array_contains(places, i), F.array(word_at(i), w)).otherwise(F.array(w))))
-    end = F.size(tokens)
-    return F.when(F.array_contains(places, end),
-                  F.concat(placed, F.array(word_at(end)))).otherwise(placed)
+    def place(at: Column) -> Column:
+        placed = F.flatten(F.transform(tokens, lambda w, i: F.when(
+            F.array_contains(at, i), F.array(word_at(i), w)).otherwise(F.array(w))))
+        end = F.size(tokens)
+        return F.when(F.array_contains(at, end),
+                      F.concat(placed, F.array(word_at(end)))).otherwise(placed)
+
+    return bind(places, place)
 
 
 def distinct_picks(n: Column, k: Column, dice: Dice, step: str) -> Column:
@@ -105,7 +108,10 @@ def distinct_picks(n: Column, k: Column, dice: Dice, step: str) -> Column:
 
 def add_fillers(text: Column, dice: Dice) -> Column:
     """One to three fillers at different inner positions."""
-    tokens = words(text)
+    return bind(words(text), lambda tokens: _with_fillers(text, tokens, dice))
+
+
+def _with_fillers(text: Column, tokens: Column, dice: Dice) -> Column:
     n = F.size(tokens)
     count = dice.below(F.least(F.lit(3), n - 1), "fillers", "n") + 1
     places = F.transform(distinct_picks(n - 1, count, dice, "fillers"), lambda p: p + 1)
@@ -116,17 +122,23 @@ def add_fillers(text: Column, dice: Dice) -> Column:
 
 def repeat_word(text: Column, dice: Dice) -> Column:
     """Stutter one word of letters."""
-    tokens = words(text)
-    at = dice.below(F.size(tokens), "repeat")
-    word = F.get(tokens, at)
-    doubled = insert_words(tokens, F.array(at), lambda i: F.lower(F.get(tokens, i)))
-    return F.when(F.size(tokens) < 2, text).when(
-        word.rlike(r"^\p{L}{2,}$"), F.array_join(doubled, " ")).otherwise(F.array_join(tokens, " "))
+    def repeat(tokens: Column) -> Column:
+        at = dice.below(F.size(tokens), "repeat")
+        word = F.get(tokens, at)
+        doubled = insert_words(tokens, F.array(at), lambda i: F.lower(F.get(tokens, i)))
+        return F.when(F.size(tokens) < 2, text).when(
+            word.rlike(r"^\p{L}{2,}$"), F.array_join(doubled, " ")
+        ).otherwise(F.array_join(tokens, " "))
+
+    return bind(words(text), repeat)
 
 
 def cut_short(text: Column, dice: Dice) -> Column:
     """Keep a head of at least half the words, perhaps cut its last word, add a suffix."""
-    tokens = words(text)
+    return bind(words(text), lambda tokens: _cut(text, tokens, dice))
+
+
+def _cut(text: Column, tokens: Column, dice: Dice) -> Column:
     n = F.size(tokens)
     least = F.greatest(F.lit(2), F.floor(n / 2).cast("int"))
     head = F.array_join(F.slice(tokens, F.lit(1), least + dice.below(n - least, "cut")), " ")
@@ -157,9 +169,9 @@ def change_punctuation(text: Column, dice: Dice) -> Column:
     """Drop all, add a comma, change the end, or leave it."""
     option = dice.below(4, "punctuation")
     tokens = words(text)
-    at = dice.below(F.size(tokens) - 1, "comma")
-    comma = F.array_join(F.transform(tokens, lambda w, i: F.when(
-        i == at, F.concat(w, F.lit(","))).otherwise(w)), " ")
+    comma = bind(dice.below(F.size(tokens) - 1, "comma"), lambda at: F.array_join(
+        F.transform(tokens, lambda w, i: F.when(
+            i == at, F.concat(w, F.lit(","))).otherwise(w)), " "))
     ended = F.concat(F.regexp_replace(text, "[.,!?;:]+$", ""),
                      dice.pick(literals(N.END_MARKS), "end"))
     return F.when(option == 0, F.regexp_replace(text, "[.,!?;:]", "")).when(
@@ -168,11 +180,11 @@ def change_punctuation(text: Column, dice: Dice) -> Column:
 
 def change_case(text: Column, dice: Dice) -> Column:
     """All lower, random capitals, first capital only, or leave it."""
-    option, salt = dice.below(4, "case"), dice.below(1_000_003, "case", "salt").cast("bigint")
-    chars = F.split(F.lower(text), "")
+    option = dice.below(4, "case")
     # 15 % of the characters, from one draw per row and the position
-    mixed = F.array_join(F.transform(chars, lambda c, i: F.when(
-        F.pmod((salt + 1) * (i + 7919), F.lit(1000)) < 150, F.upper(c)).otherwise(c)), "")
+    mixed = bind(dice.below(1_000_003, "case", "salt").cast("bigint"), lambda salt: F.array_join(
+        F.transform(F.split(F.lower(text), ""), lambda c, i: F.when(
+            F.pmod((salt + 1) * (i + 7919), F.lit(1000)) < 150, F.upper(c)).otherwise(c)), ""))
     first = F.concat(F.upper(F.substring(text, 1, 1)),
                      F.lower(F.substring(text, F.lit(2), F.length(text))))
     return F.when(option == 0, F.lower(text)).when(option == 1, mixed).when(
@@ -206,11 +218,13 @@ def add_hallucination(text: Column, dice: Dice) -> Column:
 
 def add_marker(text: Column, dice: Dice) -> Column:
     """A noise marker between any two words."""
-    tokens = words(text)
-    at = dice.below(F.size(tokens) + 1, "marker", "at")
-    marker = dice.pick(literals(N.MARKERS), "marker")
-    return F.when(F.size(tokens) < 2, text).otherwise(
-        F.array_join(insert_words(tokens, F.array(at), lambda i: marker), " "))
+    def mark(tokens: Column) -> Column:
+        at = dice.below(F.size(tokens) + 1, "marker", "at")
+        marker = dice.pick(literals(N.MARKERS), "marker")
+        return F.when(F.size(tokens) < 2, text).otherwise(
+            F.array_join(insert_words(tokens, F.array(at), lambda i: marker), " "))
+
+    return bind(words(text), mark)
 
 
 def add_accent(text: Column, dice: Dice) -> Column:
@@ -316,11 +330,14 @@ def augment(df: DataFrame, key: str = "sentence_id", seed: int = 42) -> DataFram
 def augment_lightly(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A filler outside the entities (30 %), then random case per word (50 %)."""
     dice = Dice(F.col(key), seed)
-    tokens = words(F.col("sentence"))
-    slots = words(F.lower(F.concat_ws(" ", "departure", "destination")))
+    tokens, safe = F.col("_tokens"), F.col("_safe")
+    slots = F.col("_slots")
     bare = F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), TAIL_PUNCTUATION, ""))
-    safe = F.filter(positions(tokens),
-                    lambda i: (i > 0) & ~F.array_contains(slots, F.get(bare, i)))
+    ready = df.withColumns({
+        "_tokens": words(F.col("sentence")),
+        "_slots": words(F.lower(F.concat_ws(" ", "departure", "destination")))}).withColumn(
+        "_safe", bind(bare, lambda b: F.filter(positions(b), lambda i: (i > 0)
+                                               & ~F.array_contains(slots, F.get(b, i)))))
     add = (dice.u("light", "filler") < 0.3) & (F.size(tokens) > 2) & (F.size(safe) > 0)
     filled = F.when(add, insert_words(
         tokens, F.array(dice.pick(safe, "light", "at")),
@@ -332,5 +349,5 @@ def augment_lightly(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
     cased = F.when(dice.u("light", "recase") < 0.5, F.transform(F.col("_words"), recase)
                    ).otherwise(F.col("_words"))
-    return df.withColumn("_words", filled).withColumn("sentence", F.array_join(cased, " ")).drop(
-        "_words")
+    return ready.withColumn("_words", filled).withColumn(
+        "sentence", F.array_join(cased, " ")).select(*df.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.functions.bio import blank_labels, label_exact
-from railweave.functions.text import words
+from railweave.functions.text import bind, words
 from railweave.operators.noise import augment_lightly
 from railweave.operators.scale import hash_bucket, hash_int, hash_key, number_rows, uniform
 
@@ -209,11 +209,11 @@ def split_places(places: DataFrame, name: str = "name", train: float = 0.8, val:
 
 def bio_samples(labelled: DataFrame) -> DataFrame:
     """K6 over a table: (id, tokens, labels, sentence, intent)."""
-    tokens = words(F.col("sentence"))
+    tokens = F.col("tokens")
     labels = F.when(F.col("intent") == "TRIP", label_exact(
         tokens, F.col("departure"), F.col("destination"))).otherwise(blank_labels(tokens))
-    return labelled.select(F.col("sentence_id").alias("id"), tokens.alias("tokens"),
-                           labels.alias("labels"), "sentence", "intent")
+    return labelled.withColumn("tokens", words(F.col("sentence"))).select(
+        F.col("sentence_id").alias("id"), "tokens", labels.alias("labels"), "sentence", "intent")
 
 
 def build_split(split: str, rows: DataFrame, templates: DataFrame, places: DataFrame,
@@ -260,10 +260,12 @@ def leak_check(split_values: DataFrame) -> DataFrame:
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` words (the whole text when it is shorter)."""
-    tokens = words(F.lower(text))
-    n = F.greatest(F.size(tokens) - size + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(
-        F.slice(tokens, i, F.lit(size)), " ")))
+    def runs(tokens: Column) -> Column:
+        n = F.greatest(F.size(tokens) - size + 1, F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(
+            F.slice(tokens, i, F.lit(size)), " ")))
+
+    return bind(words(F.lower(text)), runs)
 
 
 def shingle_leaks(train: DataFrame, held_out: DataFrame, key: str, text: str = "text",
