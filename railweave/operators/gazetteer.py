@@ -176,12 +176,12 @@ def gazetteer_stats(stations: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def grams(text: Column, size: int = 3) -> Column:
     """Distinct substrings of length 1 to ``size``."""
-    n = F.length(text)
-    return F.array_distinct(F.flatten(F.array(*[
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1),
-                                   lambda i, k=k: F.substring(text, i, F.lit(k))))
-        .otherwise(F.array().cast("array<string>"))
-        for k in range(1, size + 1)])))
+    def of_length(k: int) -> Column:
+        return F.when(F.length(text) >= k, F.transform(
+            F.sequence(F.lit(1), F.length(text) - k + 1),
+            lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(of_length, range(1, size + 1)))))
 
 
 def _leading_grams(text: Column, size: int = 3) -> Column:
@@ -200,7 +200,6 @@ def containment_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     needle it holds each of its substrings, so one of them suffices as equi-join key,
     and the rarest one keeps the candidates few.  Blank needles match nothing.
     """
-    # the subquery is evaluated twice but each side only reads distinct short strings
     hay_grams = hays.select("hay", F.explode(grams(F.col("hay"))).alias("gram"))
     frequency = hay_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
     needle_grams = needles.filter(F.length("needle") > 0).select(
