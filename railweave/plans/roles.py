@@ -134,8 +134,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests: type is the model, value the duration, k the resource readings."""
     k = F.get_json_object("props", "$.k").cast("double")
+    # the table holds UTC wall-clock times without a zone
+    instant = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     return read(spark, sf_dir, "events").select(
-        "event_id", "ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        "event_id", instant.alias("ts"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         F.concat(F.lit("request "), F.col("event_id").cast("string")).alias("input_text"),
         F.col("event_type").alias("model_name"), F.col("value").alias("duration_s"),
         k.alias("cpu_percent_avg"), (k * 10).alias("ram_peak_mb"),
