@@ -150,7 +150,7 @@ def sample_profile(spark, sf):
 
 
 @query("duplicate_texts", """SELECT md5(text) AS text, n FROM (
-  SELECT text, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, text LIMIT 10)""")
+  SELECT text, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, sha256(text) LIMIT 10)""")
 def duplicate_texts(spark, sf):
     """The ten most repeated texts (a report)."""
     return M.duplicates(table(spark, sf, "documents"), "text").select(F.md5("text").alias("text"), "n")

@@ -9,6 +9,7 @@ from railweave.catalog import sql as S
 from railweave.functions.text import normalize_name
 from railweave.operators import gazetteer as G
 from railweave.operators import linking as L
+from railweave.operators.scale import Stage
 from railweave.plans import roles
 from railweave.plans.resolve import search_linker
 from railweave.sources.writers import city_mapping, station_list
@@ -30,8 +31,9 @@ def line_source(spark, sf):
 
 
 def stations(spark, sf):
-    """D1 over suppliers, line items and customers."""
-    return G.merge_gazetteer(roles.station_rows(spark, sf), line_source(spark, sf))
+    """D1 over suppliers, line items and customers, stored once as the searches read it often."""
+    return Stage(spark, "stations").save(
+        G.merge_gazetteer(roles.station_rows(spark, sf), line_source(spark, sf)))
 
 
 STATIONS = f"""

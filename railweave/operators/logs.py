@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from railweave.operators.scale import with_neighbour
+from railweave.operators.scale import HOT_ROWS, hot_groups, with_neighbour
 
 KWH_PER_KG = 50  # fixed value: kWh per kg of CO2
 
@@ -65,7 +65,8 @@ def counter_rate(samples: DataFrame, series: str, value: str, width: str = "5 mi
 
 
 def without_resets(samples: DataFrame, series: str, value: str, order: str = "ts",
-                   tie: str = "event_id", bucket: str = "1 hour") -> DataFrame:
+                   tie: str = "event_id", bucket: str = "1 hour",
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """L3 in batch: a counter that restarts keeps growing.
 
     The drop at each reset is found with ``lag`` inside time buckets, whose ends are
@@ -73,7 +74,8 @@ def without_resets(samples: DataFrame, series: str, value: str, order: str = "ts
     counter without its resets, relative to the first sample.
     """
     timed = samples.withColumn("_at", F.unix_micros(order))
-    before = with_neighbour(timed, series, "_at", [tie], [value], -1, "_prev_")
+    hot = hot_groups(timed, series, "_at", hot_rows)
+    before = with_neighbour(timed, series, "_at", [tie], [value], -1, "_prev_", hot, hot_rows)
     step = F.when(F.col(f"_prev_{value}").isNull(), F.lit(0.0)).when(
         F.col(value) < F.col(f"_prev_{value}"), F.col(value)).otherwise(
         F.col(value) - F.col(f"_prev_{value}"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railweave.functions import wordlists as W
+from railweave.operators.linking import scored_frame
 from railweave.operators.scale import top_per_group
 
 _EDGE = "[" + "".join(re.escape(c) for c in W.MENTION_BOUNDARY_CHARS) + "]+"
@@ -95,9 +98,6 @@ def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1,
     As in linking, a task meets one slice of the queries and one block of the places;
     one matrix product scores the cell and only the best k per query leave it.
     """
-    import numpy as np
-    import pandas as pd
-
     blocks = max(1, -(-places.count() // block_rows))
     left = queries.select("q", normalised(F.col("vec")).alias("vec"),
                           F.pmod(F.xxhash64("q"), F.lit(slices)).alias("s"),
@@ -108,7 +108,7 @@ def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1,
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
-            return pd.DataFrame({"q": [], "place": [], "score": []})
+            return scored_frame([], "place")
         known = known.sort_values("place")
         names = known["place"].to_numpy()
         matrix = np.stack(known["vec"].to_numpy()).T
@@ -121,7 +121,7 @@ def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1,
             for q, row in zip(part["q"], scores):
                 best = np.argsort(-row, kind="stable")[:k]
                 out += [(q, names[i], float(row[i])) for i in best if row[i] >= threshold]
-        return pd.DataFrame(out, columns=["q", "place", "score"])
+        return scored_frame(out, "place")
 
     types = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
     place_type = {f.name: f.dataType.simpleString() for f in places.schema.fields}["place"]

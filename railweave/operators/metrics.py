@@ -48,9 +48,17 @@ def length_profile(df: DataFrame) -> DataFrame:
 
 
 def duplicates(df: DataFrame, text: str = "sentence", limit: int = 10) -> DataFrame:
-    """Texts seen more than once, most frequent first; the report shows ten."""
-    return df.filter(F.trim(text) != "").groupBy(text).agg(F.count(F.lit(1)).alias("n")).filter(
-        "n > 1").orderBy(F.desc("n"), text).limit(limit)
+    """Texts seen more than once, most frequent first; the report shows ten.
+
+    Only digests are shuffled; the texts of the few reported digests are looked up
+    afterwards.  Equal counts are ordered by digest.
+    """
+    digest = F.sha2(text, 256)
+    rows = df.filter(F.trim(text) != "")
+    top = rows.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("n")).filter(
+        "n > 1").orderBy(F.desc("n"), "_digest").limit(limit)
+    return rows.select(digest.alias("_digest"), text).join(F.broadcast(top), "_digest").groupBy(
+        text).agg(F.first("n").alias("n")).orderBy(F.desc("n"), F.sha2(text, 256))
 
 
 def confusion_pairs(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from railweave.functions import wordlists as W
 from railweave.functions.geo import (
     SPEED_DEFAULT, SPEED_HIGH, SPEED_WALK, distance_km, earth_cell, parse_post,
 )
-from railweave.operators.scale import HOT_ROWS, with_neighbour
+from railweave.operators.scale import HOT_ROWS, Stage, hot_groups, with_neighbour
 
 TRANSFER_KM = 8.0
 
@@ -56,10 +56,14 @@ def consecutive_stops(stops: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Equal rows lie side by side in the order (pk, uic), so they are dropped first, with
     map-side aggregation.
     """
-    ordered = stops.select("line", "uic", "pk").distinct()
-    kept = with_neighbour(ordered, "line", "pk", ["uic"], ["uic"], -1, "prev_", hot_rows).filter(
-        ~F.col("uic").eqNullSafe(F.col("prev_uic"))).drop("prev_uic")
-    paired = with_neighbour(kept, "line", "pk", ["uic"], ["uic", "pk"], 1, "next_", hot_rows)
+    stage = Stage(stops.sparkSession, "stops")
+    ordered = stage.save(stops.select("line", "uic", "pk").distinct())
+    hot = hot_groups(ordered, "line", "pk", hot_rows)
+    before = with_neighbour(ordered, "line", "pk", ["uic"], ["uic"], -1, "prev_", hot, hot_rows)
+    kept = before.filter(~F.col("uic").eqNullSafe(F.col("prev_uic"))).drop("prev_uic")
+    if hot is not None:
+        kept = stage.save(kept)
+    paired = with_neighbour(kept, "line", "pk", ["uic"], ["uic", "pk"], 1, "next_", hot, hot_rows)
     return paired.filter(F.col("next_uic").isNotNull()).select(
         "line", F.col("uic").alias("src"), F.col("next_uic").alias("dst"),
         "pk", F.col("next_pk").alias("pk_next"))

@@ -25,39 +25,42 @@ def gram_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def train_profiles(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFrame:
-    """(gram, lang, logp): add-one smoothed n-gram probabilities of each language.
+    """(gram, logp): add-one smoothed n-gram log-probabilities, one struct field per language.
 
-    Every gram has a row per language, so scoring needs no default.
+    One row per gram keeps the scoring join from multiplying rows by languages.  The
+    languages are the few values of the label column.
     """
-    counts = gram_counts(docs, label, text).groupBy("gram").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("n")))).alias("by_lang"))
-    totals = gram_counts(docs, label, text).groupBy(F.col(label).alias("lang")).agg(
-        F.sum("n").alias("total"))
-    size = counts.agg(F.count(F.lit(1)).alias("vocabulary"))
-    # one row per language (a few) and a single number: both sides are bounded
-    langs = totals.join(size).agg(F.collect_list(F.struct("lang", "total", "vocabulary")).alias("all"))
-    return counts.join(langs).select("gram", "by_lang", F.explode("all").alias("l")).select(
-        "gram", F.col("l.lang").alias("lang"),
-        F.log((F.coalesce(F.try_element_at("by_lang", F.col("l.lang")), F.lit(0)) + 1)
-              / (F.col("l.total") + F.col("l.vocabulary"))).alias("logp"))
+    langs = sorted(r[0] for r in docs.select(label).distinct().collect() if r[0] is not None)
+    counts = gram_counts(docs, label, text).groupBy("gram").agg(*[
+        F.coalesce(F.sum(F.when(F.col(label) == lang, F.col("n"))), F.lit(0)).alias(f"n_{i}")
+        for i, lang in enumerate(langs)])
+    totals = counts.agg(F.count(F.lit(1)).alias("vocabulary"),
+                        *[F.sum(f"n_{i}").alias(f"total_{i}") for i in range(len(langs))])
+    # a single row of totals stands beside every gram
+    return counts.join(totals).select("gram", F.struct(*[
+        F.log((F.col(f"n_{i}") + 1) / (F.col(f"total_{i}") + F.col("vocabulary"))).alias(lang)
+        for i, lang in enumerate(langs)]).alias("logp"))
 
 
 def score_languages(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, lang, score): log-likelihood of each text under each profile."""
-    return gram_counts(docs, key, text).join(profiles, "gram").groupBy(key, "lang").agg(
-        F.sum(F.col("n") * F.col("logp")).alias("score"))
+    """(key, scores): log-likelihood of each text per language as array<struct<score, lang>>."""
+    langs = profiles.schema["logp"].dataType.fieldNames()
+    sums = gram_counts(docs, key, text).join(profiles, "gram").groupBy(key).agg(*[
+        F.sum(F.col("n") * F.col("logp")[lang]).alias(f"s_{i}") for i, lang in enumerate(langs)])
+    return sums.select(key, F.array(*[
+        F.struct(F.col(f"s_{i}").alias("score"), F.lit(lang).alias("lang"))
+        for i, lang in enumerate(langs)]).alias("scores"))
 
 
 def detect_languages(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, label, conf): top language mapped to three classes; short texts UNKNOWN."""
-    best = score_languages(docs, profiles, key, text).groupBy(key).agg(
-        F.max(F.struct("score", "lang")).alias("top"),
-        F.collect_list("score").alias("scores"))
+    """(key, label, conf, score): top language mapped to three classes; short texts UNKNOWN."""
+    best = score_languages(docs, profiles, key, text).select(
+        key, "scores", F.array_max("scores").alias("top"))
     share = F.lit(1.0) / F.aggregate(
-        F.transform("scores", lambda s: F.exp(s - F.col("top.score"))), F.lit(0.0),
-        lambda a, x: a + x)
+        "scores", F.lit(0.0), lambda a, x: a + F.exp(x["score"] - F.col("top.score")))
     label = F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 3, labelled("UNKNOWN", 0.5)).when(
         F.col("top").isNull(), labelled("UNKNOWN", 0.4)).otherwise(
         labelled(language_of_code(F.col("top.lang")), share))
-    return docs.select(key, text).join(best, key, "left").select(key, label.alias("r")).select(
-        key, "r.label", "r.conf")
+    return docs.select(key, text).join(best, key, "left").select(
+        key, label.alias("r"), F.col("top.score").alias("score")).select(
+        key, "r.label", "r.conf", F.col("score"))

@@ -92,31 +92,53 @@ def hash_bucket(key: Column, digits: int = 2) -> Column:
     return F.substring(key, 1, digits)
 
 
+def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+    """Give CPU-heavy work at least one task per core.
+
+    A large input already comes in many splits and is left alone; only an input of fewer
+    splits than cores, such as one small file, is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * tasks_per_core)
+
+
+def hot_groups(df: DataFrame, group: str, position: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(group, _n, _lo, _hi) of the groups with more than ``hot_rows`` rows, if there are any.
+
+    One grouped count over ``df``, which should be a stored table or a cheap scan.
+    """
+    extent = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+    hot = Stage(df.sparkSession, "hot").save(extent.filter(F.col("_n") > hot_rows))
+    return None if hot.isEmpty() else hot
+
+
 def with_neighbour(
     df: DataFrame, group: str, position: str, tie: Sequence[str], carry: Sequence[str],
-    offset: int, prefix: str, hot_rows: int = HOT_ROWS,
+    offset: int, prefix: str, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the previous (-1) or next (+1) row's ``carry`` columns along ``position``.
 
-    Ordinary groups use a plain window.  A group of more than ``hot_rows`` rows is cut
-    into ranges of ``position``; the row at the edge of a range takes its neighbour from
-    a small table of range ends.
+    Without hot groups this is a plain window.  A group listed in ``hot`` (see
+    ``hot_groups``) is cut into ranges of ``position``; the row at the edge of a range
+    takes its neighbour from a small table of range ends.
     """
-    extent = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-    hot = extent.filter(F.col("_n") > hot_rows)
+    order = [position, *tie]
+    shift = F.lag if offset < 0 else F.lead
+    row = F.struct(*order, *[c for c in carry if c not in order])
+    if hot is None:
+        near = df.withColumn("_near", shift(row).over(Window.partitionBy(group).orderBy(*order)))
+        return near.select(*df.columns, *[F.col("_near")[c].alias(prefix + c) for c in carry])
+
     width = F.greatest((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / hot_rows), F.lit(1e-9))
     tagged = df.join(hot, group, "left").withColumn(
         "_range", F.when(F.col("_n").isNull(), F.lit(-1).cast("bigint"))
         .otherwise(F.floor((F.col(position) - F.col("_lo")) / width))
     ).drop("_n", "_lo", "_hi")
-
-    order = [position, *tie]
     local = Window.partitionBy(group, "_range").orderBy(*order)
-    shift = F.lag if offset < 0 else F.lead
-    row = F.struct(*order, *[c for c in carry if c not in order])
     near = tagged.withColumn("_near", shift(row).over(local))
-
     ends = tagged.filter(F.col("_range") >= 0).groupBy(group, "_range").agg(
         (F.max if offset < 0 else F.min)(row).alias("_end"))
     across = ends.select(

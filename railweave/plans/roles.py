@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from railweave.operators.network import (
     both_directions, build_edges, build_nodes, hub_transfers, line_attributes, line_stops,
 )
+from railweave.operators.scale import spread
 from railweave.operators.training import (
     fill_slots, planned_rows, quota_plan, sequence_id, template_table,
 )
@@ -43,7 +44,7 @@ def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station-line source: one row per line item; every seventh supplier also takes freight."""
-    li = read(spark, sf_dir, "lineitem")
+    li = spread(read(spark, sf_dir, "lineitem"))
     key = F.col("l_suppkey")
     post = F.concat(F.col("l_linenumber").cast("string"), F.lit("+"),
                     F.lpad((F.col("l_quantity") * 10).cast("int").cast("string"), 3, "0"))
@@ -124,7 +125,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled sentences, one per order, about places named like parts."""
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_no"))
+    orders = spread(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_no")))
     rows = orders.withColumn("sentence_id", sequence_id(F.col("row_no") + 1))
     total = orders.count()
     cells = planned_rows(rows, quota_plan(spark, total))
