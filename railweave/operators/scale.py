@@ -13,9 +13,11 @@ HOT_ROWS = 1_000_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
+    """The shared folder of the cluster; a temporary one only in local mode without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="railweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -246,10 +246,12 @@ def leak_check(split_values: DataFrame) -> DataFrame:
     """H6: (split_a, split_b, shared): values that two splits have in common.
 
     ``split_values(split, value)``.  One aggregate per value finds its set of splits, so
-    no split is joined with another.
+    no split is joined with another, and only digests of the values are shuffled.
     """
     # a value belongs to a handful of splits at most
-    sets = split_values.filter(F.col("value").isNotNull()).groupBy("value").agg(
+    digests = split_values.filter(F.col("value").isNotNull()).select(
+        "split", F.sha2("value", 256).alias("value"))
+    sets = digests.groupBy("value").agg(
         F.array_sort(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1)
     pairs = F.flatten(F.transform("splits", lambda a: F.transform(
         F.filter("splits", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
