@@ -139,7 +139,7 @@ def role_labels(spark, sf):
     """K8, F8: places by order of appearance, fitted to five tokens."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     lab = F.when(F.col("l_linenumber") % 3 == 1, "B-LOC").when(F.col("l_linenumber") % 3 == 2, "I-LOC").otherwise("o")
-    rows = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(
+    rows = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(
         F.struct("l_linenumber", lab.alias("lab")))), lambda x: x["lab"]).alias("labels"))
     return rows.select("k", F.array_join(bio.location_roles(F.col("labels"), F.lit(5)), " ").alias("labels"))
 

@@ -82,7 +82,7 @@ def merge_gazetteer(passenger: DataFrame, lines: DataFrame) -> DataFrame:
         F.coalesce(F.min("department").over(same)["value"], F.lit("")).alias("department"),
         F.when(known, True).otherwise(F.col("q.is_passenger")).alias("is_passenger"),
         F.coalesce(F.max("fret").over(same)["value"], F.lit(False)).alias("is_freight"),
-        F.array_sort(F.array_distinct(codes)).alias("line_codes"),
+        F.sort_array(F.array_distinct(codes)).alias("line_codes"),
         # passenger stations come first, then the line table in its own order
         F.concat(F.when(known, "0").otherwise("1"), F.lpad(F.col("ord").cast("string"), 18, "0"),
                  F.lit(" "), "uic").alias("ord"),
@@ -91,7 +91,7 @@ def merge_gazetteer(passenger: DataFrame, lines: DataFrame) -> DataFrame:
 
 def station_key(uic_codes: Column, name_norm: Column) -> Column:
     """Identity of a station: its set of keys, else its normalised name."""
-    return F.when(F.size(uic_codes) > 0, F.array_join(F.array_sort(uic_codes), ";")).otherwise(
+    return F.when(F.size(uic_codes) > 0, F.array_join(F.sort_array(uic_codes), ";")).otherwise(
         name_norm)
 
 
@@ -143,7 +143,7 @@ def with_aliases(stations: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def inverted(index: DataFrame) -> DataFrame:
     """E20 in its nested form: key -> keys in file order."""
-    pairs = F.array_sort(F.collect_set(F.struct("ord", "uic")))
+    pairs = F.sort_array(F.collect_set(F.struct("ord", "uic")))
     return index.groupBy("key").agg(F.transform(pairs, lambda p: p["uic"]).alias("uics"))
 
 

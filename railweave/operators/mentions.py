@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railweave.functions import wordlists as W
+from railweave.functions.text import bind
 from railweave.operators.linking import scored_frame
 from railweave.operators.scale import top_per_group
 
@@ -35,11 +36,21 @@ def find_mentions(docs: DataFrame, places: DataFrame, key: str, text: str = "tex
     place_tokens = lowered.select("place", "ord", F.explode(_tokens(F.col("place"))).alias("token"))
     frequency = place_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     keyed = place_tokens.join(frequency, "token").groupBy("place").agg(
-        F.min_by("token", F.struct("df", "token")).alias("token"), F.first("ord").alias("ord"))
+        # among equally rare tokens the longest is the least common in texts
+        F.min_by("token", F.struct("df", -F.length("token"), "token")).alias("token"),
+        F.first("ord").alias("ord"))
     found = docs.select(key, F.explode(_tokens(F.lower(text))).alias("token")).join(
         keyed, "token").groupBy(key).agg(
         F.collect_list(F.struct((-F.length("place")).alias("len"), "ord", "place")).alias("places"))
-    value = F.col("_lowered")
+    # the text is lowered once per row, also where the optimiser repeats the expression
+    mentions = bind(F.lower(text), lambda value: bind(
+        _bounded_places(value, F.col("places")), _longest_first))
+    return docs.select(key, text).join(found, key).select(key, mentions.alias("mentions")).filter(
+        F.size("mentions") > 0)
+
+
+def _bounded_places(value: Column, places: Column) -> Column:
+    """First occurrence of each place in the text, where it stands between boundaries."""
     edges = F.lit(W.MENTION_BOUNDARY_CHARS)
 
     def at_edge(position: Column) -> Column:
@@ -47,11 +58,15 @@ def find_mentions(docs: DataFrame, places: DataFrame, key: str, text: str = "tex
         return (position < 1) | (char == "") | F.contains(edges, char)
 
     # F.locate only takes a literal needle
-    placed = F.transform(F.array_sort("places"), lambda p: F.struct(
+    placed = F.transform(F.sort_array(places), lambda p: F.struct(
         F.call_function("locate", p["place"], value).alias("at"),
         F.length(p["place"]).alias("len"), p["place"].alias("place")))
-    bounded = F.filter(placed, lambda m: (m["at"] > 0) & at_edge(m["at"] - 1)
-                       & at_edge(m["at"] + m["len"]))
+    return F.filter(placed, lambda m: (m["at"] > 0) & at_edge(m["at"] - 1)
+                    & at_edge(m["at"] + m["len"]))
+
+
+def _longest_first(places: Column) -> Column:
+    """Fold over places ordered by length: one that overlaps a taken span is dropped."""
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
     def keep(taken: Column, m: Column) -> Column:
@@ -60,11 +75,7 @@ def find_mentions(docs: DataFrame, places: DataFrame, key: str, text: str = "tex
         mention = F.struct(start.alias("start"), end.alias("end"), m["place"].alias("text"))
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(mention)))
 
-    return docs.select(key, text).join(found, key).select(
-        key, F.lower(text).alias("_lowered"), "places"
-    ).select(key, bounded.alias("_bounded")).select(
-        key, F.array_sort(F.aggregate("_bounded", empty, keep)).alias("mentions")
-    ).filter(F.size("mentions") > 0)
+    return F.sort_array(F.aggregate(places, empty, keep))
 
 
 def title_case(name: Column) -> Column:

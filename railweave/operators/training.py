@@ -127,7 +127,7 @@ def fill_slots(rows: DataFrame, templates: DataFrame, places: DataFrame, key: st
     empty; only TRIP rows carry slots.
     """
     listed = templates.groupBy("intent", "language", "kind").agg(
-        F.array_sort(F.collect_list("template")).alias("choices"))
+        F.sort_array(F.collect_list("template")).alias("choices"))
     indexed_places = place_index(places)
     count = indexed_places.agg(F.max("n").alias("n_places"))
 
@@ -252,7 +252,7 @@ def leak_check(split_values: DataFrame) -> DataFrame:
     digests = split_values.filter(F.col("value").isNotNull()).select(
         "split", F.sha2("value", 256).alias("value"))
     sets = digests.groupBy("value").agg(
-        F.array_sort(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1)
+        F.sort_array(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1)
     pairs = F.flatten(F.transform("splits", lambda a: F.transform(
         F.filter("splits", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy(

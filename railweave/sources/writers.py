@@ -56,7 +56,7 @@ def station_list(stations: DataFrame) -> DataFrame:
 
 def city_mapping(city_stations: DataFrame) -> DataFrame:
     """City -> station names, from (query, tier, ord, name) of ``stations_of_city``."""
-    ordered = F.array_sort(F.collect_list(F.struct("tier", "ord", "name")))
+    ordered = F.sort_array(F.collect_list(F.struct("tier", "ord", "name")))
     return city_stations.groupBy(F.col("query").alias("city")).agg(
         F.transform(ordered, lambda s: s["name"]).alias("stations"))
 
@@ -71,7 +71,7 @@ def report_document(sections: dict[str, DataFrame], eval_type: str = "all",
     document = None
     for name, table in sections.items():
         metrics = F.struct(*[c for c in table.columns if c != "model"])
-        body = (F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", metrics.alias("m")))))
+        body = (F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", metrics.alias("m")))))
                 if "model" in table.columns else F.collect_list(metrics))
         part = table.agg(body.alias(name))
         document = part if document is None else document.join(part)
