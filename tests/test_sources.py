@@ -53,11 +53,11 @@ def test_request_log_skips_blank_lines(spark, tmp_path):
 
 
 def test_reports(spark, tmp_path):
-    for name, body in (("evaluation_2026-01-22_16-49-24", {"samples": 3, "eval_type": "intent"}), ("evaluation_2026-02-01_00-00-00", {})):
+    for name, body in (("evaluation_2025-03-04_10-20-30", {"samples": 3, "eval_type": "intent"}), ("evaluation_2025-05-01_00-00-00", {})):
         dump(tmp_path / f"{name}.json", body)
     got = [tuple(r) for r in readers.report_catalogue(spark, str(tmp_path)).collect()]
-    assert got == [("evaluation_2026-02-01_00-00-00", "2026-02-01", "all", "test_set", 0),
-                   ("evaluation_2026-01-22_16-49-24", "2026-01-22", "intent", "test_set", 3)]
+    assert got == [("evaluation_2025-05-01_00-00-00", "2025-05-01", "all", "test_set", 0),
+                   ("evaluation_2025-03-04_10-20-30", "2025-03-04", "intent", "test_set", 3)]
     assert json.loads(readers.report(spark, str(tmp_path), got[1][0]).first().body)["samples"] == 3
     assert readers.report(spark, str(tmp_path), "none").count() == 0
 
