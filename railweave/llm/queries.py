@@ -30,7 +30,7 @@ def op1_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "source", sharding.text_size(F.col("text")).alias("size"),
         sharding.text_crc32(F.col("text")).alias("text_crc32"))
-    return sharding.interleave(stored(docs, "sizes"), 8, tie=("text_crc32", "size")).select(
+    return sharding.interleave(stored(docs, "sizes"), 8, tie=(F.col("text_crc32"), F.col("size"))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 

@@ -36,29 +36,23 @@ def hash_range(key: Column, ranges: int) -> Column:
         F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(4294967296.0))
 
 
-def interleave(docs: DataFrame, shards: int, seed: int = SEED, tie: tuple[str, ...] = (),
-               source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def interleave(docs: DataFrame, shards: int, seed: int = SEED, tie: tuple[Column, ...] = ()) -> DataFrame:
     """``docs`` with shard (0 to ``shards`` - 1) and slot (gapless from 0 in a shard).
 
     Counts of shards are at most one apart.  Null sources are one source of their own, null doc_ids one id;
     rows of equal hash are ordered by doc_id and ``tie``.  Existing columns shard and slot stay, and the new
     ones then get underscores in front.  No rows give no rows.
     """
-    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
     ranges = ranges_for(docs)
-    names = {n: fresh(docs, f"_{n}") for n in ("key", "rank", "size", "part", "at", "all")}
-    keyed = docs.withColumn(names["key"], shuffle_key(seed, F.col(doc_id)))
-    order = [F.col(c) for c in (names["key"], doc_id, *tie)]
-    ranked = number_rows(keyed, [source], order, hash_range(F.col(names["key"]), ranges),
-                         names["rank"], names["size"])
-    part = (2 * F.col(names["rank"]) - 1) / (2 * F.col(names["size"]))
-    placed = number_rows(
-        ranked.withColumn(names["part"], part), [],
-        [F.col(names["part"]), F.col(source).asc_nulls_first(), F.col(names["rank"])],
-        F.floor(F.col(names["part"]) * ranges), names["at"], names["all"])
-    n, at = f"`{names['all']}`", f"(`{names['at']}` - 1)"
-    return placed.withColumn(shard, F.expr(f"CAST({at} * {shards} div {n} AS INT)")).withColumn(
-        slot, F.expr(f"{at} - (`{shard}` * {n} + {shards - 1}) div {shards}")).select(*docs.columns, shard, slot)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("src"), F.struct(
+        shuffle_key(seed, F.col("doc_id")).alias("key"), "doc_id", *tie).alias("order"))
+    ranked = number_rows(keyed, ["src"], [F.col("order")], hash_range(F.col("order.key"), ranges), "rank", "size")
+    parted = ranked.withColumn("part", (2 * F.col("rank") - 1) / (2 * F.col("size"))).drop("order", "size")
+    placed = number_rows(parted, [], [F.col("part"), F.col("src").asc_nulls_first(), F.col("rank")],
+                         F.floor(F.col("part") * ranges), "place", "total")
+    cut = placed.withColumn("shard", F.expr(f"CAST((place - 1) * {shards} div total AS INT)")).withColumn(
+        "slot", F.expr(f"place - 1 - (shard * total + {shards - 1}) div {shards}"))
+    return cut.select("row.*", F.col("shard").alias(fresh(docs, "shard")), F.col("slot").alias(fresh(docs, "slot")))
 
 
 def text_size(text: Column) -> Column:

@@ -88,8 +88,8 @@ c AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGI
         lambda a, b: xor(a // 256, crc.t[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
 r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY source) AS n FROM c
       WINDOW w AS (PARTITION BY source ORDER BY md5('11|' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, text_crc32, size)),
-p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * n), source NULLS FIRST, rank) - 1 AS at, count(*) OVER () AS total FROM r),
-q AS (SELECT *, at * 8 // total AS shard FROM p)
-SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (at - (shard * total + 7) // 8)::BIGINT AS slot,
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * n), source NULLS FIRST, rank) - 1 AS pos, count(*) OVER () AS total FROM r),
+q AS (SELECT *, pos * 8 // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos - (shard * total + 7) // 8)::BIGINT AS slot,
   NULL::INTEGER AS grown_shard FROM q
 """
