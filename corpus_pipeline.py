@@ -36,14 +36,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them: none, once or in several epochs."""
-    mixed = mixing.mix_sources(docs.withColumn("size", mixing.count_words(F.col("text"))))
-    return mixed.filter(F.col("copies") > 0).withColumn(
-        "copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"),
+                       F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
+    taken = mixing.mix_sources(rows, tie=("tie",)).filter(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns with shard (0 to 7) and slot."""
-    return sharding.interleave(docs, 8, tie=("text",))
+    return sharding.interleave(docs, 8, tie=(F.xxhash64("text"),))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks),
