@@ -76,7 +76,7 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT id, min(root) AS root FRO
 """
 
 #: Bitwise CRC-32, eight steps per byte through a table that SQL builds.
-_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS steps FROM (
   SELECT i, list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z:
     CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS v FROM range(256) r(i)))"""
 
@@ -85,7 +85,7 @@ WITH {_CRC_TABLE},
 d AS (SELECT doc_id, source, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size FROM documents),
 c AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 1),
         lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::BIGINT, 2))::BIGINT)),
-        lambda a, b: xor(a // 256, crc.t[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
+        lambda a, b: xor(a // 256, crc.steps[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
 r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY source) AS n FROM c
       WINDOW w AS (PARTITION BY source ORDER BY md5('11|' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, text_crc32, size)),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * n), source NULLS FIRST, rank) - 1 AS pos, count(*) OVER () AS total FROM r),
