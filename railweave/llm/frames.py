@@ -15,9 +15,19 @@ from railweave.operators.scale import Stage
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark drops the shuffle files of a finished query; the written table is all that is read later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: computed once, safe from lost executors."""
-    return Stage(df.sparkSession, name).save(df)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return Stage(df.sparkSession, name).save(df)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -4,7 +4,7 @@ Two equal windows of ``WINDOW`` words share an aligned anchor: D = {0, 1, 3, 9}
 modulo 13, so for starts i and j some shift below 13 puts both i + shift and j + shift on positions whose
 remainder is in D.  Hence only 4 of 13 positions send the hash of their 8-word anchor over the wire
 (12 + 8 = 20 words).  Anchors met only once rule out all windows around them.  The windows that keep a
-repeated anchor are then extended to their full 20 words, and those sequences are compared by 128 bits.
+repeated anchor are then extended to their full 20 words, and those sequences are compared by 96 bits.
 
 Hot passages: every task settles repetitions inside its own slice of texts first.  It sends one
 representative of a sequence on; the other occurrences are known repetitions and travel under keys of
@@ -107,10 +107,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead = np.maximum.accumulate(np.where(known, 0, np.arange(len(row))))
             same[known] = ((rid[row] == rid[row[lead]]) & (place[row] == place[row[lead]]))[known]
             row, sent, known = row[~same], sent[~same], known[~same]
+            info = (np.where(known, own[row], one[row]) >> np.uint64(32) << np.uint64(32)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sent.view(np.int64)), pa.array(np.where(known, own[row], one[row]).view(np.int64)),
-                 pa.array(rid[row]), pa.array(place[row].astype(np.int64)), pa.array(known)],
-                names=["key", "check", "rid", "place", "known"])
+                [pa.array(sent.view(np.int64)), pa.array(rid[row]), pa.array(info | place[row] << 1 | known)],
+                names=["key", "rid", "info"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.RecordBatch]:
@@ -160,10 +160,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     anchors = ids.filter(F.col("text").isNotNull()).mapInArrow(_anchors, "key long, rid long, place long")
     repeated = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter(
         (F.col("n") > 1) | (F.col("place") % 2 == 1))
-    marks = repeated.groupBy("rid").agg(
-        F.collect_set(F.expr("place div 2")).alias("places"))
+    marks = stored(repeated.groupBy("rid").agg(F.collect_set(F.expr("place div 2")).alias("places")), "marks")
+    # info: 32 bits of a second hash, the start, and whether the window is a known repetition.
     windows = ids.join(marks, "rid").select("rid", "text", "places").mapInArrow(
-        _candidates, "key long, check long, rid long, place long, known boolean")
+        _candidates, "key long, rid long, info long").repartition("key")
+    windows = windows.select("key", "rid", F.shiftright("info", 32).alias("check"), F.expr("(info & 4294967295) div 2").alias(
+        "place"), (F.col("info") % 2 != 0).alias("known"))
     here = F.struct("rid", "place")
     earliest = F.min(here).over(Window.partitionBy("key", "check"))
     return windows.withColumn("earliest", earliest).filter(
