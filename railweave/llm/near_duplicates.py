@@ -251,9 +251,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     filled = features.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = filled.groupBy("one", "two").agg(F.min("doc_id").alias("id"))
     member = stored(filled.select("doc_id", "n_shingles", "one", "two").join(sets, ["one", "two"]), "near-members")
-    heads = sets.select("one", "two", "id")
-    classes = stored(filled.join(heads, ["one", "two"]).filter(F.col("doc_id") == F.col("id")).dropDuplicates(
-        ["id"]).select("id", "n_shingles", "bands", "odd"), "near-classes")
+    classes = stored(filled.join(sets, (filled["doc_id"] == sets["id"]) & (filled["one"] == sets["one"]) & (
+        filled["two"] == sets["two"]), "left_semi").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]).select(
+        "id", "n_shingles", "bands", "odd"), "near-classes")
     links = near_duplicate_links(classes, docs, shingle, percent, block)
     roots = components(links)
     found = member.join(roots, "id", "left").select(
