@@ -9,6 +9,7 @@ whole texts, in Arrow batches without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ BUCKETS = 1 << 18
 #: Prefixes of a word, in bytes, that are features beside the word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Labelled documents per label value that are used for the fit at most.
-TRAIN_PER_LABEL = 2000
+TRAIN_PER_LABEL = 1500
 STEPS, RATE, PENALTY = 150, 0.1, 3e-4
 #: Share of the sampled documents that must hold a feature.
 LEAST_SHARE = 0.004
@@ -58,29 +59,45 @@ def _logits(bucket: np.ndarray, sentence: np.ndarray, n: int, model: np.ndarray)
     return np.clip(np.bincount(sentence, weights=model[bucket], minlength=n) + model[-1], -60, 60)
 
 
-def fit(bucket: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Feature weights and, last, the bias; ``doc`` is the document of each sentence, ``y`` the labels.
+class Part(NamedTuple):
+    """Features of some sampled documents; sentences and documents count from 0 in each part."""
 
-    Adam on the log loss of the noisy-or, weighted by document, with an L1 penalty that keeps words of
-    little evidence at 0.  Without documents every score is all but 0.
+    bucket: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+    y: np.ndarray
+
+
+def fit(parts: list[Part], ratio: np.ndarray) -> np.ndarray:
+    """Feature weights and, last, the bias; ``ratio`` is the weight of a document of label 0 and 1.
+
+    Adam on the log loss of the noisy-or with an L1 penalty that keeps words of little evidence at 0.  It
+    walks over the parts, so that no array spans the whole sample.  Without documents every score is all
+    but 0.
     """
     model = np.zeros(BUCKETS + 1)
-    if not len(y):
+    n = sum(len(p.y) for p in parts)
+    if not n:
         model[-1] = -60.0
         return model
-    held = np.unique(doc[sentence].astype(np.int64) * BUCKETS + bucket) % BUCKETS
-    common = np.bincount(held, minlength=BUCKETS) >= max(3, LEAST_SHARE * len(y))
-    use = common[bucket]
-    bucket, sentence = bucket[use], sentence[use]
-    weight = weight / weight.sum()
-    model[-1] = np.log(max((y * weight).sum(), 1e-4) / max(1.0, len(doc) / len(y)))
+    held = np.zeros(BUCKETS, np.int64)
+    for p in parts:
+        held += np.bincount(np.unique(p.doc[p.sentence].astype(np.int64) * BUCKETS + p.bucket) % BUCKETS,
+                            minlength=BUCKETS)
+    common = held >= max(3, LEAST_SHARE * n)
+    parts = [Part(p.bucket[common[p.bucket]], p.sentence[common[p.bucket]], p.doc, p.y) for p in parts]
+    total = sum(ratio[p.y].sum() for p in parts)
+    toxic = sum((ratio[p.y] * p.y).sum() for p in parts)
+    model[-1] = np.log(max(toxic / total, 1e-4) / max(1.0, sum(len(p.doc) for p in parts) / n))
     first, second = np.zeros_like(model), np.zeros_like(model)
     for t in range(1, STEPS + 1):
-        z = _logits(bucket, sentence, len(doc), model)
-        clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y))
-        whole = np.maximum(-np.expm1(-clean), 1e-9)
-        part = (weight * (whole - y) / whole)[doc] / (1 + np.exp(-z))
-        slope = np.append(np.bincount(bucket, weights=part[sentence], minlength=BUCKETS), part.sum())
+        slope = np.zeros_like(model)
+        for p in parts:
+            z = _logits(p.bucket, p.sentence, len(p.doc), model)
+            whole = np.maximum(-np.expm1(-np.bincount(p.doc, weights=np.logaddexp(0, z), minlength=len(p.y))), 1e-9)
+            share = (ratio[p.y] / total * (whole - p.y) / whole)[p.doc] / (1 + np.exp(-z))
+            slope[:-1] += np.bincount(p.bucket, weights=share[p.sentence], minlength=BUCKETS)
+            slope[-1] += share.sum()
         words, now = slope[:-1], model[:-1]
         slope[:-1] = np.where(now != 0, words + PENALTY * np.sign(now),
                               np.sign(words) * np.maximum(np.abs(words) - PENALTY, 0))
@@ -112,22 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
                     [pa.array([x.tobytes()]) for x in (bucket, sentence, doc, y[low:high].astype(np.int8))],
                     names=["bucket", "sentence", "doc", "y"])
 
-    parts = sample.select("text", "y").mapInArrow(
+    rows = sample.select("text", "y").mapInArrow(
         encode, "bucket binary, sentence binary, doc binary, y binary").collect()
-    lists: list[list[np.ndarray]] = [[], [], [], []]
-    n_sentences = n_docs = 0
-    for p in parts:
-        bucket, sentence, doc = (np.frombuffer(p[c], np.int32) for c in ("bucket", "sentence", "doc"))
-        y = np.frombuffer(p["y"], np.int8)
-        for part, whole in zip((bucket, sentence + n_sentences, doc + n_docs, y), lists):
-            whole.append(part)
-        n_sentences, n_docs = n_sentences + len(doc), n_docs + len(y)
-    del parts
-    if not n_docs:
-        return fit(*[np.zeros(0, np.int32)] * 3, np.zeros(0), np.zeros(0))
-    bucket, sentence, doc, y = (np.concatenate(x) for x in lists)
-    ratio = np.array([counts.get(v, 0) / max(1, (y == v).sum()) for v in (0, 1)])
-    return fit(bucket, sentence, doc, y.astype(float), ratio[y])
+    parts = [Part(*[np.frombuffer(r[c], np.int32) for c in ("bucket", "sentence", "doc")],
+                  np.frombuffer(r["y"], np.int8)) for r in rows]
+    seen = np.sum([np.bincount(p.y, minlength=2) for p in parts], axis=0) if parts else np.zeros(2)
+    return fit(parts, np.array([counts.get(v, 0) / max(1, seen[v]) for v in (0, 1)]))
 
 
 def score_documents(docs: DataFrame, model: np.ndarray, score: str = "score", text: str = "text") -> DataFrame:
