@@ -24,7 +24,7 @@ BUCKETS = 1 << 18
 #: Prefixes of a word, in bytes, that are features beside the word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Labelled documents per label value that are used for the fit at most.
-TRAIN_PER_LABEL = 1500
+TRAIN_PER_LABEL = 2000
 STEPS, RATE, PENALTY = 150, 0.1, 3e-4
 #: Share of the sampled documents that must hold a feature.
 LEAST_SHARE = 0.004
@@ -35,69 +35,98 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bw.Words, np.ndarray]:
-    """(bucket of each feature, its sentence, document of each sentence, words, sentence of each word).
+class Cut(NamedTuple):
+    """Texts cut into sentences: features of each distinct word, and which word stands in which sentence.
 
-    Only sentences with a word count.
+    Only sentences with a word count.  ``features`` has one row per distinct word, filled up with ``BUCKETS``.
     """
-    w = bw.words(data, offsets, lower=True, letters=True)
-    stops = np.concatenate(([0], np.cumsum(_STOP[data])))[w.start]
-    new = np.ones(len(w.start), bool)
-    new[1:] = (stops[1:] != stops[:-1]) | (w.doc[1:] != w.doc[:-1])
-    sentence = (np.cumsum(new) - 1).astype(np.int32)
-    hashes, owners = [w.hash], [sentence]
-    for k in PREFIXES:
-        longer = np.flatnonzero(w.end - w.start > k)
-        start = w.start[longer]
-        hashes.append(bw.span_hash(data, start, start + k, True) + np.uint64(k))
-        owners.append(sentence[longer])
-    bucket = (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int32)
-    return bucket, np.concatenate(owners), w.doc[new].astype(np.int32), w, sentence
-
-
-def _logits(bucket: np.ndarray, sentence: np.ndarray, n: int, model: np.ndarray) -> np.ndarray:
-    return np.clip(np.bincount(sentence, weights=model[bucket], minlength=n) + model[-1], -60, 60)
 
-
-class Part(NamedTuple):
-    """Features of some sampled documents; sentences and documents count from 0 in each part."""
-
-    bucket: np.ndarray
+    hash: np.ndarray
+    features: np.ndarray
+    word: np.ndarray
     sentence: np.ndarray
     doc: np.ndarray
-    y: np.ndarray
 
 
-def fit(parts: list[Part], ratio: np.ndarray) -> np.ndarray:
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[Cut, bw.Words]:
+    """The sentences of a slice of texts, and its words."""
+    w = bw.words(data, offsets, lower=True, letters=True)
+    stops = np.concatenate(([0], np.cumsum(_STOP[data])))[w.start]
+    new = np.ones(len(w.start), bool)
+    new[1:] = (stops[1:] != stops[:-1]) | (w.doc[1:] != w.doc[:-1])
+    sentence = (np.cumsum(new) - 1).astype(np.int32)
+    known, at, word = np.unique(w.hash, return_index=True, return_inverse=True)
+    start, end = w.start[at], w.end[at]
+    features = np.full((len(known), 1 + len(PREFIXES)), BUCKETS, np.int32)
+    features[:, 0] = known % np.uint64(BUCKETS)
+    for column, k in enumerate(PREFIXES, 1):
+        longer = np.flatnonzero(end - start > k)
+        prefix = bw.span_hash(data, start[longer], start[longer] + k, True) + np.uint64(k)
+        features[longer, column] = prefix % np.uint64(BUCKETS)
+    return Cut(known, features, word.astype(np.int32), sentence, w.doc[new].astype(np.int32)), w
+
+
+def _logits(cut: Cut, model: np.ndarray) -> np.ndarray:
+    """Score of each sentence before the logistic function."""
+    by_word = np.where(cut.features < BUCKETS, model[cut.features], 0).sum(axis=1)
+    return np.clip(np.bincount(cut.sentence, weights=by_word[cut.word], minlength=len(cut.doc)) + model[-1], -60, 60)
+
+
+def joined(cuts: list[Cut], n_docs: list[int]) -> Cut:
+    """One cut of all texts; sentences and documents count on, and a word has one row of features."""
+    if not cuts:
+        empty = np.zeros(0, np.int32)
+        return Cut(np.zeros(0, np.uint64), np.zeros((0, 1 + len(PREFIXES)), np.int32), empty, empty, empty)
+    known, at, place = np.unique(np.concatenate([c.hash for c in cuts]), return_index=True, return_inverse=True)
+    words = np.cumsum([0] + [len(c.hash) for c in cuts])
+    before = np.cumsum([0] + [len(c.doc) for c in cuts])
+    docs = np.cumsum([0] + n_docs)
+    return Cut(
+        known, np.concatenate([c.features for c in cuts])[at],
+        np.concatenate([place[words[i]:words[i + 1]].astype(np.int32)[c.word] for i, c in enumerate(cuts)]),
+        np.concatenate([c.sentence + np.int32(before[i]) for i, c in enumerate(cuts)]),
+        np.concatenate([c.doc + np.int32(docs[i]) for i, c in enumerate(cuts)]))
+
+
+def holders(cut: Cut, n_docs: int, block: int = 100) -> np.ndarray:
+    """Number of documents that hold each feature, counted over blocks of documents."""
+    pairs = np.unique(cut.doc[cut.sentence].astype(np.int64) * max(1, len(cut.hash)) + cut.word)
+    doc, word = np.divmod(pairs, max(1, len(cut.hash)))
+    held = np.zeros(BUCKETS + 1, np.int64)
+    for low in range(0, n_docs, block):
+        a, b = np.searchsorted(doc, (low, low + block))
+        keys = np.unique(doc[a:b, None] * (BUCKETS + 1) + cut.features[word[a:b]])
+        held += np.bincount(keys % (BUCKETS + 1), minlength=BUCKETS + 1)
+    return held[:-1]
+
+
+def fit(cut: Cut, y: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Feature weights and, last, the bias; ``ratio`` is the weight of a document of label 0 and 1.
 
-    Adam on the log loss of the noisy-or with an L1 penalty that keeps words of little evidence at 0.  It
-    walks over the parts, so that no array spans the whole sample.  Without documents every score is all
-    but 0.
+    Adam on the log loss of the noisy-or with an L1 penalty that keeps words of little evidence at 0.  Scores
+    and slopes go by distinct words, so that no array has a row for each feature of each word.  Without
+    documents every score is all but 0.
     """
     model = np.zeros(BUCKETS + 1)
-    n = sum(len(p.y) for p in parts)
+    n = len(y)
     if not n:
         model[-1] = -60.0
         return model
-    held = np.zeros(BUCKETS, np.int64)
-    for p in parts:
-        held += np.bincount(np.unique(p.doc[p.sentence].astype(np.int64) * BUCKETS + p.bucket) % BUCKETS,
-                            minlength=BUCKETS)
-    common = held >= max(3, LEAST_SHARE * n)
-    parts = [Part(p.bucket[common[p.bucket]], p.sentence[common[p.bucket]], p.doc, p.y) for p in parts]
-    total = sum(ratio[p.y].sum() for p in parts)
-    toxic = sum((ratio[p.y] * p.y).sum() for p in parts)
-    model[-1] = np.log(max(toxic / total, 1e-4) / max(1.0, sum(len(p.doc) for p in parts) / n))
+    common = np.append(holders(cut, n) >= max(3, LEAST_SHARE * n), False)
+    cut = cut._replace(features=np.where(common[cut.features], cut.features, BUCKETS))
+    weight = ratio[y]
+    total = weight.sum()
+    model[-1] = np.log(max((weight * y).sum() / total, 1e-4) / max(1.0, len(cut.doc) / n))
     first, second = np.zeros_like(model), np.zeros_like(model)
     for t in range(1, STEPS + 1):
+        z = _logits(cut, model)
+        whole = np.maximum(-np.expm1(-np.bincount(cut.doc, weights=np.logaddexp(0, z), minlength=n)), 1e-9)
+        share = (weight / total * (whole - y) / whole)[cut.doc] / (1 + np.exp(-z))
+        by_word = np.bincount(cut.word, weights=share[cut.sentence], minlength=len(cut.hash))
         slope = np.zeros_like(model)
-        for p in parts:
-            z = _logits(p.bucket, p.sentence, len(p.doc), model)
-            whole = np.maximum(-np.expm1(-np.bincount(p.doc, weights=np.logaddexp(0, z), minlength=len(p.y))), 1e-9)
-            share = (ratio[p.y] / total * (whole - p.y) / whole)[p.doc] / (1 + np.exp(-z))
-            slope[:-1] += np.bincount(p.bucket, weights=share[p.sentence], minlength=BUCKETS)
-            slope[-1] += share.sum()
+        for column in cut.features.T:
+            slope += np.bincount(column, weights=by_word, minlength=BUCKETS + 1)
+        slope[-1] = share.sum()
         words, now = slope[:-1], model[:-1]
         slope[:-1] = np.where(now != 0, words + PENALTY * np.sign(now),
                               np.sign(words) * np.maximum(np.abs(words) - PENALTY, 0))
@@ -124,17 +153,20 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for low, high, data, offsets in bw.slices(batch.column(0)):
-                bucket, sentence, doc, _, _ = sentences(data, offsets)
+                cut, _ = sentences(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()]) for x in (bucket, sentence, doc, y[low:high].astype(np.int8))],
-                    names=["bucket", "sentence", "doc", "y"])
+                    [pa.array([x.tobytes()]) for x in (*cut, y[low:high].astype(np.int8))],
+                    names=[*Cut._fields, "y"])
 
     rows = sample.select("text", "y").mapInArrow(
-        encode, "bucket binary, sentence binary, doc binary, y binary").collect()
-    parts = [Part(*[np.frombuffer(r[c], np.int32) for c in ("bucket", "sentence", "doc")],
-                  np.frombuffer(r["y"], np.int8)) for r in rows]
-    seen = np.sum([np.bincount(p.y, minlength=2) for p in parts], axis=0) if parts else np.zeros(2)
-    return fit(parts, np.array([counts.get(v, 0) / max(1, seen[v]) for v in (0, 1)]))
+        encode, ", ".join(f"{c} binary" for c in (*Cut._fields, "y"))).collect()
+    y = np.frombuffer(b"".join(r["y"] for r in rows), np.int8)
+    cuts = [Cut(np.frombuffer(r["hash"], np.uint64),
+                np.frombuffer(r["features"], np.int32).reshape(-1, 1 + len(PREFIXES)),
+                *[np.frombuffer(r[c], np.int32) for c in ("word", "sentence", "doc")]) for r in rows]
+    seen = np.bincount(y, minlength=2)
+    return fit(joined(cuts, [len(r["y"]) for r in rows]), y,
+               np.array([counts.get(v, 0) / max(1, seen[v]) for v in (0, 1)]))
 
 
 def score_documents(docs: DataFrame, model: np.ndarray, score: str = "score", text: str = "text") -> DataFrame:
@@ -145,9 +177,9 @@ def score_documents(docs: DataFrame, model: np.ndarray, score: str = "score", te
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         out = np.zeros(batch.num_rows)
         for low, high, data, offsets in bw.slices(batch.column(at)):
-            bucket, sentence, doc, _, _ = sentences(data, offsets)
-            z = _logits(bucket, sentence, len(doc), small)
-            out[low:high] = -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, z), minlength=high - low))
+            cut, _ = sentences(data, offsets)
+            z = _logits(cut, small)
+            out[low:high] = -np.expm1(-np.bincount(cut.doc, weights=np.logaddexp(0, z), minlength=high - low))
         return [pa.array(np.clip(out, 0.0, 1.0))]
 
     return append_columns(docs, make, [(score, "double")])
@@ -163,8 +195,9 @@ def offending_sentences(docs: DataFrame, model: np.ndarray, bar: float = SENTENC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, _, data, offsets in bw.slices(batch.column(1)):
-                bucket, sentence, doc, w, of_word = sentences(data, offsets)
-                p = 1 / (1 + np.exp(-_logits(bucket, sentence, len(doc), small)))
+                cut, w = sentences(data, offsets)
+                of_word, doc = cut.sentence, cut.doc
+                p = 1 / (1 + np.exp(-_logits(cut, small)))
                 bad = np.flatnonzero(p >= bar)
                 first = np.searchsorted(of_word, bad)
                 last = np.searchsorted(of_word, bad, "right") - 1

@@ -168,8 +168,8 @@ def test_common_subsequence_equals_table():
 def test_offending_sentences(spark):
     model = np.zeros(toxicity.BUCKETS + 1)
     model[-1] = -8
-    bucket, *_ = toxicity.sentences(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))
-    model[bucket[0]] = 16
+    cut, _ = toxicity.sentences(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))
+    model[cut.features[0, 0]] = 16
     docs = spark.createDataFrame([(1, "all is well. you vile thing! bye"), (2, "fine")], "doc_id long, text string")
     assert [(r["doc_id"], r["sentence"], r["text"]) for r in toxicity.offending_sentences(docs, model).collect()] == [
         (1, 1, "you vile thing")]
