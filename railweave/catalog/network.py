@@ -220,7 +220,7 @@ def pareto_skyline(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         "l_partkey", F.col("l_quantity").alias("time"), F.col("l_extendedprice").alias("distance"),
         F.round(F.col("l_discount") * 100).cast("int").alias("transfers"))
-    return R.skyline(rows, ["l_partkey"], levels=11)
+    return R.skyline(rows, ["l_partkey"])
 
 
 def region_requests(spark, sf):

@@ -9,7 +9,7 @@ from railweave.catalog import sql as S
 from railweave.functions.text import normalize_name
 from railweave.operators import gazetteer as G
 from railweave.operators import linking as L
-from railweave.operators.scale import Stage
+from railweave.operators.scale import Stage, padded
 from railweave.plans import roles
 from railweave.plans.resolve import search_linker
 from railweave.sources.writers import city_mapping, station_list
@@ -26,7 +26,7 @@ def line_source(spark, sf):
         F.col("c_mktsegment").alias("commune"), F.lit("").alias("departemen"),
         none.alias("x_wgs84"), none.alias("y_wgs84"),
         F.struct(F.lit(2.0).alias("lon"), F.lit(48.0).alias("lat")).alias("c_geo"),
-        F.lit("").alias("pk"), F.lpad(text("c_custkey"), 12, "0").alias("ord"))
+        F.lit("").alias("pk"), padded(text("c_custkey"), 12).alias("ord"))
     return roles.line_rows(spark, sf).unionByName(extra)
 
 
@@ -39,8 +39,8 @@ def stations(spark, sf):
 STATIONS = f"""
 src AS (SELECT l_suppkey::VARCHAR AS uic, CASE WHEN l_returnflag = 'A' THEN 'O' ELSE 'N' END AS fret, l_orderkey::VARCHAR AS line,
   'Commune ' || (l_suppkey % 17) AS commune, 'Dept ' || (l_suppkey % 5) AS dept,
-  lpad(l_orderkey::VARCHAR, 12, '0') || ' ' || l_linenumber || ' ' || lpad(l_partkey::VARCHAR, 12, '0') || ' ' || l_returnflag AS ord FROM lineitem
-  UNION ALL SELECT 'C' || c_custkey, 'O', c_nationkey::VARCHAR, c_mktsegment, '', lpad(c_custkey::VARCHAR, 12, '0') FROM customer),
+  lpad(l_orderkey::VARCHAR, greatest(12, length(l_orderkey::VARCHAR))::INT, '0') || ' ' || l_linenumber || ' ' || lpad(l_partkey::VARCHAR, greatest(12, length(l_partkey::VARCHAR))::INT, '0') || ' ' || l_returnflag AS ord FROM lineitem
+  UNION ALL SELECT 'C' || c_custkey, 'O', c_nationkey::VARCHAR, c_mktsegment, '', lpad(c_custkey::VARCHAR, greatest(12, length(c_custkey::VARCHAR))::INT, '0') FROM customer),
 agg AS (SELECT uic, max_by(fret, ord) = 'O' AS is_freight, count(DISTINCT line) AS n_lines, min(commune) AS commune, min(dept) AS department FROM src GROUP BY 1),
 st AS (SELECT coalesce(p.uic, a.uic) AS uic, coalesce(p.name, c.c_name) AS name, p.uic IS NOT NULL AS is_passenger,
   coalesce(is_freight, false) AS is_freight, coalesce(n_lines, 0) AS n_lines, coalesce(commune, '') AS commune, coalesce(department, '') AS department,
@@ -178,7 +178,7 @@ def city_export(spark, sf):
 
 
 @query("station_export", f"""WITH {STATIONS}, al AS (SELECT name_norm, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases FROM alias GROUP BY 1)
-SELECT name, name_norm AS normalized, lpad(k::VARCHAR, 4, 'S') AS short_code, commune, coalesce(aliases, '') AS aliases
+SELECT name, name_norm AS normalized, lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INT, 'S') AS short_code, commune, coalesce(aliases, '') AS aliases
 FROM stn LEFT JOIN al USING (name_norm) WHERE is_passenger""")
 def station_export(spark, sf):
     """Passenger stations with aliases."""
@@ -225,7 +225,7 @@ def part_stations(spark, sf):
     return table(spark, sf, "part").select(
         F.col("p_partkey").cast("string").alias("uic"), F.col("p_name").alias("name"),
         normalize_name(F.col("p_name")).alias("name_norm"), F.lit("").alias("commune"),
-        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("ord"))
+        padded(F.col("p_partkey"), 12).alias("ord"))
 
 
 def misspelt(spark, sf):

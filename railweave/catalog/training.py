@@ -8,7 +8,6 @@ from railweave.catalog import query, table
 from railweave.catalog import sql as S
 from railweave.functions import bio
 from railweave.functions import noise_tables as N
-from railweave.functions.labels import map_language_label
 from railweave.functions.text import token_spans, words
 from railweave.operators import bio_metrics as BM
 from railweave.operators import noise, validation
@@ -30,7 +29,7 @@ def slot_fill(spark, sf):
 @query("quota_cells", f"WITH {SAMPLES} SELECT intent, language, kind, count(*) AS n FROM samples GROUP BY 1, 2, 3")
 def quota_cells(spark, sf):
     """K2: how many orders fall into each cell of the plan."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"))
+    orders = roles.order_rows(spark, sf)
     cells = K.planned_rows(orders, K.quota_plan(spark, orders.count()))
     return cells.groupBy("intent", "language", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -71,7 +70,7 @@ def seeded_shuffle(spark, sf):
                        hash_bucket(key), "rank").drop("n")
 
 
-@query("sequence_ids", "SELECT c_custkey, 'CUST' || lpad((c_custkey + 1)::VARCHAR, 6, '0') AS id FROM customer")
+@query("sequence_ids", "SELECT c_custkey, 'CUST' || lpad((c_custkey + 1)::VARCHAR, greatest(6, length((c_custkey + 1)::VARCHAR))::INT, '0') AS id FROM customer")
 def sequence_ids(spark, sf):
     """gap-free ids along the key."""
     c = table(spark, sf, "customer").select("c_custkey")
@@ -254,7 +253,7 @@ def bio_decode(spark, sf):
 SELECT id, intent, n::BIGINT AS n_tokens, 'train' AS split FROM r""")
 def split_build(spark, sf):
     """K5, H5: generated TRIP sentences plus documents as other sentences."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"))
+    orders = roles.order_rows(spark, sf)
     rows = K.planned_rows(orders.withColumn("sentence_id", K.sequence_id(F.col("row_no") + 1)),
                           K.quota_plan(spark, orders.count())).filter("intent = 'TRIP'")
     other = table(spark, sf, "documents").select("doc_id", F.col("text").alias("sentence")).withColumnRenamed("doc_id", "sentence_id")
@@ -265,7 +264,7 @@ def split_build(spark, sf):
 @query("split_augmented")
 def split_augmented(spark, sf):
     """K5 with K11 on about 30 % of the rows (invariants are tested)."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"))
+    orders = roles.order_rows(spark, sf)
     rows = K.planned_rows(orders.withColumn("sentence_id", K.sequence_id(F.col("row_no") + 1)),
                           K.quota_plan(spark, orders.count())).filter("intent = 'TRIP'")
     other = table(spark, sf, "documents").select(F.col("doc_id").alias("sentence_id"), F.col("text").alias("sentence"))
@@ -422,5 +421,4 @@ def samples_json(spark, sf):
     """Written as JSON and read back; only the language is mapped."""
     path = Stage(spark, "json").root
     writers.write_json(roles.samples(spark, sf).repartition(4), path)
-    raw = spark.read.schema(readers.SAMPLES).json(path)
-    return raw.withColumn("language", map_language_label(F.col("language")))
+    return readers.samples_json(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railweave.functions import wordlists as W
 from railweave.functions.text import extract_city_name, normalize_name, split_keys
-from railweave.operators.scale import top_per_group
+from railweave.operators.scale import padded, top_per_group
 
 
 def passenger_stations(source: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def merge_gazetteer(passenger: DataFrame, lines: DataFrame) -> DataFrame:
         F.coalesce(F.max("fret").over(same)["value"], F.lit(False)).alias("is_freight"),
         F.sort_array(F.array_distinct(codes)).alias("line_codes"),
         # passenger stations come first, then the line table in its own order
-        F.concat(F.when(known, "0").otherwise("1"), F.lpad(F.col("ord").cast("string"), 18, "0"),
+        F.concat(F.when(known, "0").otherwise("1"), padded(F.col("ord"), 18),
                  F.lit(" "), "uic").alias("ord"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -89,6 +90,12 @@ def number_rows(
         (F.col("t._local") + F.col("s._start")).alias(number), F.col(f"s.{size}").alias(size))
 
 
+def padded(key: Column, width: int, fill: str = "0") -> Column:
+    """``key`` as text of at least ``width`` characters; a longer one stays whole."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), fill)
+
+
 def hash_bucket(key: Column, digits: int = 2) -> Column:
     """Leading hex digits of a ``hash_key``: they rise with it and hold equal shares."""
     return F.substring(key, 1, digits)
@@ -162,9 +169,6 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
                          ).filter(F.col(rank) <= k)
 
 
-def until_empty(step: Callable[[int], bool], max_rounds: int) -> int:
-    """Run ``step(round)`` until it reports that nothing changed."""
-    for round_no in range(1, max_rounds + 1):
-        if not step(round_no):
-            return round_no
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds; raise max_rounds")
+def until_empty(step: Callable[[int], bool]) -> int:
+    """Run ``step(round)`` until it reports that nothing changed; the number of rounds."""
+    return next(n for n in itertools.count(1) if not step(n))

@@ -93,15 +93,18 @@ def quota_plan(spark: SparkSession, total: int, intermediate_ratio: float = 0.15
 def planned_rows(rows: DataFrame, plan: DataFrame, number: str = "row_no") -> DataFrame:
     """K2: give every numbered row (0-based) the cell of the plan that covers its number.
 
-    The plan is a handful of fixed rows, turned into one ``when`` chain: no range join.
+    The plan is a handful of fixed rows, turned into one ``when`` chain: no range join.  A row that
+    no cell covers is an error.
     """
-    cell = None
+    cell, uncovered = None, F.raise_error(F.concat(F.lit("no cell of the plan for row "), F.col(number).cast("string")))
     for p in plan.orderBy("start").collect():
         value = F.struct(F.lit(p["intent"]).alias("intent"), F.lit(p["language"]).alias("language"),
                          F.lit(p["kind"]).alias("kind"))
         below = F.col(number) < p["end"]
         cell = F.when(below, value) if cell is None else cell.when(below, value)
-    return rows.withColumn("_cell", cell).filter(F.col("_cell").isNotNull()).select(
+    empty = "struct<intent: string, language: string, kind: string>"
+    cell = uncovered.cast(empty) if cell is None else cell.otherwise(uncovered)
+    return rows.withColumn("_cell", cell).select(
         *rows.columns, "_cell.intent", "_cell.language", "_cell.kind")
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from railweave.operators.network import (
     both_directions, build_edges, build_nodes, hub_transfers, line_attributes, line_stops,
 )
-from railweave.operators.scale import spread
+from railweave.operators.scale import padded, spread
 from railweave.operators.training import (
-    fill_slots, planned_rows, quota_plan, sequence_id, template_table,
+    indexed, fill_slots, planned_rows, quota_plan, sequence_id, template_table,
 )
 
 
@@ -35,7 +35,7 @@ def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")
     return s.select(
-        F.col("s_name").alias("nom"), F.lpad(key.cast("string"), 4, "S").alias("libellecourt"),
+        F.col("s_name").alias("nom"), padded(key, 4, "S").alias("libellecourt"),
         F.lit("A").alias("segment_drg"),
         F.struct(longitude(key).alias("lon"), latitude(key).alias("lat")).alias("position_geographique"),
         F.col("s_nationkey").cast("string").alias("codeinsee"), key.cast("string").alias("codes_uic"),
@@ -47,7 +47,7 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(read(spark, sf_dir, "lineitem"))
     key = F.col("l_suppkey")
     post = F.concat(F.col("l_linenumber").cast("string"), F.lit("+"),
-                    F.lpad((F.col("l_quantity") * 10).cast("int").cast("string"), 3, "0"))
+                    padded((F.col("l_quantity") * 10).cast("int"), 3))
     return li.select(
         key.cast("string").alias("code_uic"),
         F.concat(F.lit("Stop "), key.cast("string")).alias("libelle"),
@@ -59,9 +59,9 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         longitude(key).alias("x_wgs84"), latitude(key).alias("y_wgs84"),
         F.lit(None).cast("struct<lon: double, lat: double>").alias("c_geo"), post.alias("pk"),
         # a total order that does not depend on how the file is split
-        F.concat_ws(" ", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"),
+        F.concat_ws(" ", padded(F.col("l_orderkey"), 12),
                     F.col("l_linenumber").cast("string"),
-                    F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
+                    padded(F.col("l_partkey"), 12),
                     F.col("l_returnflag")).alias("ord"))
 
 
@@ -123,12 +123,21 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
 
 
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_no): the orders numbered from 0 along their keys, whatever gaps the keys have.
+
+    Work per row follows that is heavier than the row, so the numbers are dealt out again.
+    """
+    keys = read(spark, sf_dir, "orders").select("o_orderkey")
+    numbered = indexed(keys, F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 100_000), "row_no")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return numbered.select("row_no").repartition(tasks)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled sentences, one per order, about places named like parts."""
-    orders = spread(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_no")))
-    rows = orders.withColumn("sentence_id", sequence_id(F.col("row_no") + 1))
-    total = orders.count()
-    cells = planned_rows(rows, quota_plan(spark, total))
+    rows = order_rows(spark, sf_dir).withColumn("sentence_id", sequence_id(F.col("row_no") + 1))
+    cells = planned_rows(rows, quota_plan(spark, read(spark, sf_dir, "orders").count()))
     return fill_slots(cells, template_table(spark), places(spark, sf_dir), "sentence_id")
 
 

@@ -86,9 +86,13 @@ def samples_csv(spark: SparkSession, path: str) -> DataFrame:
         *[_first_of(raw, [c]).alias(c) for c in ("departure", "destination", "intermediate")])
 
 
-def samples_json(spark: SparkSession, path: str) -> DataFrame:
-    """The language is mapped, the intent is taken as it is."""
-    raw = spark.read.schema(SAMPLES).option("multiLine", True).json(path)
+def samples_json(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+    """The language is mapped, the intent is taken as it is.
+
+    One object or one array of objects per line, as ``write_json`` leaves them, which can be split over
+    tasks; ``array_file`` reads documents that span lines, one task per file.
+    """
+    raw = spark.read.schema(SAMPLES).option("multiLine", array_file).json(path)
     return raw.withColumn("language", F.when(
         F.col("language").isNotNull(), map_language_label(F.col("language"))))
 

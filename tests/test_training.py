@@ -9,7 +9,9 @@ from railweave.functions import noise_tables as N
 from railweave.functions.text import clean_artifacts
 from railweave.operators import noise, validation
 from railweave.operators import training as K
-from railweave.operators.scale import hash_bucket, hash_key, number_rows
+from railweave.operators.scale import hash_bucket, hash_key, number_rows, padded
+from railweave.plans import roles
+from railweave.sources import readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,30 @@ def dataset(spark):
     return K.generate_dataset(spark, 2000, places).cache()
 
 
+def test_sparse_order_keys_lose_no_row(spark, tmp_path):
+    spark.range(100).select((F.col("id") * 4).alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(p,) for p in "Paris Lyon Lille Nice".split()], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert roles.samples(spark, str(tmp_path)).select("sentence_id").distinct().count() == 100
+
+
+def test_uncovered_row_is_an_error(spark):
+    with pytest.raises(Exception, match="no cell of the plan for row 10"):
+        K.planned_rows(spark.range(11).withColumnRenamed("id", "row_no"), K.quota_plan(spark, 10)).collect()
+
+
+def test_long_keys_are_not_cut(spark):
+    got = spark.createDataFrame([(7,), (10000,), (10001,)], "k long").select(padded(F.col("k"), 4, "S").alias("k"))
+    assert [r.k for r in got.collect()] == ["SSS7", "10000", "10001"]
+
+
+def test_json_lines_come_back_whole(spark, tmp_path):
+    rows = [(str(i), f"s {i}", "TRIP", "FRENCH", "a", "b", "") for i in range(10)]
+    writers.write_json(spark.createDataFrame(rows, readers.SAMPLES).coalesce(1), f"{tmp_path}/j")
+    assert readers.samples_json(spark, f"{tmp_path}/j").count() == 10
+    (tmp_path / "k.json").write_text('[\n{"sentence": "x",\n"intent": "TRIP"},\n{"sentence": "y"}\n]')
+    assert readers.samples_json(spark, str(tmp_path / "k.json"), array_file=True).count() == 2
+
+
 def test_numbering_equals_a_window(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("k"), (F.col("id") % 9).cast("string"))).alias("k"))
