@@ -28,14 +28,14 @@ def bio_spans(labels: Column, strict_type: bool = False) -> Column:
         return F.get(labels, i)
 
     def kind(i: Column) -> Column:
-        return F.substring(at(i), 3, 100)
+        return F.substr(at(i), F.lit(3))
 
     def begins(i: Column) -> Column:
         plain = F.startswith(at(i), F.lit("B-"))
         if not strict_type:
             return plain
         before = F.coalesce(F.get(labels, i - 1), F.lit("O"))
-        new_type = (before == "O") | (F.substring(before, 3, 100) != kind(i))
+        new_type = (before == "O") | (F.substr(before, F.lit(3)) != kind(i))
         return plain | (F.startswith(at(i), F.lit("I-")) & new_type)
 
     # every run starts at a break and ends at the next one

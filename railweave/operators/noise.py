@@ -157,7 +157,7 @@ def swap_homophones(text: Column, dice: Dice) -> Column:
         bare = F.regexp_replace(word, "^[.,!?;:'\"]+|[.,!?;:'\"]+$", "")
         other = F.try_element_at(table, F.lower(bare))
         cased = F.when(bare.rlike(r"^\p{Lu}"), F.concat(
-            F.upper(F.substring(other, 1, 1)), F.substring(other, 2, 100))).otherwise(other)
+            F.upper(F.substring(other, 1, 1)), F.substr(other, F.lit(2)))).otherwise(other)
         return F.when(other.isNotNull() & (dice.u("homophone", i) < 0.3),
                       F.concat(cased, F.substring(word, F.length(bare) + 1, F.length(word)))
                       ).otherwise(word)

@@ -127,17 +127,19 @@ def fill_slots(rows: DataFrame, templates: DataFrame, places: DataFrame, key: st
 
     Three different places are drawn per row by index; the index joins are plain
     equi-joins on evenly spread keys.  A template without {dep} leaves the departure
-    empty; only TRIP rows carry slots.
+    empty; only TRIP rows carry slots.  Fewer than three places are an error.
     """
     listed = templates.groupBy("intent", "language", "kind").agg(
         F.sort_array(F.collect_list("template")).alias("choices"))
     indexed_places = place_index(places)
-    count = indexed_places.agg(F.max("n").alias("n_places"))
+    count = indexed_places.agg(F.count(F.lit(1)).alias("n_places")).select(
+        F.when(F.col("n_places") >= 3, F.col("n_places")).otherwise(
+            F.raise_error(F.lit("slots need three places at least"))).alias("n_places"))
 
     def draw(step: str) -> Column:
         return hash_int(seed, F.lit(step), F.col(key))
 
-    n = F.greatest(F.col("n_places"), F.lit(3))
+    n = F.col("n_places")
     low, high = F.least("_dep", "_via"), F.greatest("_dep", "_via")
     third = F.pmod(draw("dest"), n - 2)
     third = third + F.when(third >= low, 1).otherwise(0)

@@ -27,6 +27,18 @@ def test_sparse_order_keys_lose_no_row(spark, tmp_path):
     assert roles.samples(spark, str(tmp_path)).select("sentence_id").distinct().count() == 100
 
 
+def test_two_places_are_too_few(spark):
+    with pytest.raises(Exception, match="three places"):
+        K.generate_dataset(spark, 20, spark.createDataFrame([("Paris",), ("Lyon",)], "name string")).collect()
+
+
+def test_spans_of_a_long_type(spark):
+    kind = "X" * 150
+    labels = [f"B-{kind}a", f"I-{kind}b"]
+    assert spark.createDataFrame([(labels,)], "labels array<string>").select(
+        F.size(bio.bio_spans(F.col("labels"), strict_type=True)).alias("n")).first().n == 2
+
+
 def test_uncovered_row_is_an_error(spark):
     with pytest.raises(Exception, match="no cell of the plan for row 10"):
         K.planned_rows(spark.range(11).withColumnRenamed("id", "row_no"), K.quota_plan(spark, 10)).collect()
