@@ -29,12 +29,16 @@ def language_pairs(spark, sf):
 
 
 def intent_pairs(spark, sf):
-    """The quality label as intent beside the keyword intent."""
-    d, truth = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return d.join(truth, "doc_id").select(
-        "doc_id", F.when(F.col("quality") == 1, "TRIP").otherwise("NOT_TRIP").alias("y_true"),
-        labels.label_intent(F.col("text"))["label"].alias("y_pred"),
+    """The quality label as intent beside the keyword intent; texts are labelled before the join."""
+    found = table(spark, sf, "documents").select(
+        "doc_id", labels.label_intent(F.col("text"))["label"].alias("y_pred"),
         labels.language_of_code(F.col("lang")).alias("language"))
+    return found.join(intent_truth(spark, sf), "doc_id").select("doc_id", "y_true", "y_pred", "language")
+
+
+def intent_truth(spark, sf):
+    return table(spark, sf, "labels").select(
+        "doc_id", F.when(F.col("quality") == 1, "TRIP").otherwise("NOT_TRIP").alias("y_true"))
 
 
 def rounded(df, *names):
@@ -107,11 +111,10 @@ SELECT count(*) AS total, count(*) FILTER (y_true = y_pred) AS correct, count(*)
 FROM pairs JOIN lang_pred USING (doc_id)""")
 def language_gate(spark, sf):
     """Accuracy on all rows and on those labelled French, in one pass."""
-    d, truth = table(spark, sf, "documents"), table(spark, sf, "labels")
-    rows = d.join(truth, "doc_id").select(
-        F.when(F.col("quality") == 1, "TRIP").otherwise("NOT_TRIP").alias("y_true"),
-        labels.label_intent(F.col("text"))["label"].alias("y_pred"),
-        labels.label_language(F.col("text"))["label"].alias("lang_pred"))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", labels.label_intent(F.col("text"))["label"].alias("y_pred"),
+        labels.label_language(F.col("text"))["label"].alias("lang_pred")
+    ).join(intent_truth(spark, sf), "doc_id")
     ok, gate = F.col("y_true") == F.col("y_pred"), F.col("lang_pred") == "FRENCH"
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("correct"),
                     F.count_if(gate).alias("gated_total"), F.count_if(gate & ok).alias("gated_correct"))

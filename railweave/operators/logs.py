@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from railweave.operators.scale import HOT_ROWS, hot_groups, with_neighbour
+from railweave.operators.scale import in_ranges, with_neighbour
 
 KWH_PER_KG = 50  # fixed value: kWh per kg of CO2
 
@@ -65,31 +65,27 @@ def counter_rate(samples: DataFrame, series: str, value: str, width: str = "5 mi
 
 
 def without_resets(samples: DataFrame, series: str, value: str, order: str = "ts",
-                   tie: str = "event_id", bucket: str = "1 hour",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   tie: str = "event_id", ranges: int | None = None) -> DataFrame:
     """L3 in batch: a counter that restarts keeps growing.
 
-    The drop at each reset is found with ``lag`` inside time buckets, whose ends are
-    joined in a small table; so one long series is not one task.  Adds ``grown``, the
-    counter without its resets, relative to the first sample.
+    The drop at each reset is found inside ranges of equal row counts, whose ends and sums
+    are joined from small tables; so neither a long series nor a busy hour is one task.
+    Adds ``grown``, the counter without its resets, relative to the first sample.
     """
-    timed = samples.withColumn("_at", F.unix_micros(order))
-    hot = hot_groups(timed, series, "_at", hot_rows)
-    before = with_neighbour(timed, series, "_at", [tie], [value], -1, "_prev_", hot, hot_rows)
-    step = F.when(F.col(f"_prev_{value}").isNull(), F.lit(0.0)).when(
-        F.col(value) < F.col(f"_prev_{value}"), F.col(value)).otherwise(
-        F.col(value) - F.col(f"_prev_{value}"))
-    steps = before.withColumns({"_step": step, "_bucket": F.window(order, bucket)["start"]})
-    sums = steps.groupBy(series, "_bucket").agg(F.sum("_step").alias("_sum"))
-    ahead = Window.partitionBy(series).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = sums.select(series, "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0.0))
-                         .alias("_start"))
-    local = Window.partitionBy(series, "_bucket").orderBy("_at", tie).rowsBetween(
+    timed = in_ranges(samples.withColumn("_at", F.unix_micros(order)), series, "_at", [tie], ranges)
+    before = with_neighbour(timed, series, "_at", [tie], [value], -1, "_prev_")
+    previous = F.col(f"_prev_{value}")
+    steps = before.withColumn("_step", F.when(previous.isNull(), F.lit(0.0)).when(
+        F.col(value) < previous, F.col(value)).otherwise(F.col(value) - previous))
+    sums = steps.groupBy(series, "_range").agg(F.sum("_step").alias("_sum"))
+    ahead = Window.partitionBy(series).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(series).alias("_series"), F.col("_range").alias("_of"),
+                         F.coalesce(F.sum("_sum").over(ahead), F.lit(0.0)).alias("_start"))
+    local = Window.partitionBy(series, "_range").orderBy("_at", tie).rowsBetween(
         Window.unboundedPreceding, 0)
-    return steps.withColumn("_run", F.sum("_step").over(local)).join(
-        starts, [series, "_bucket"]).withColumn("grown", F.col("_start") + F.col("_run")).select(
-        *samples.columns, "grown")
+    same = F.col(series).eqNullSafe(F.col("_series")) & (F.col("_range") == F.col("_of"))
+    return steps.withColumn("_run", F.sum("_step").over(local)).join(starts, same).select(
+        *samples.columns, (F.col("_start") + F.col("_run")).alias("grown"))
 
 
 def used_share(samples: DataFrame, total: str, available: str, width: str = "5 minutes",

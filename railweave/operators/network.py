@@ -9,7 +9,7 @@ from railweave.functions import wordlists as W
 from railweave.functions.geo import (
     SPEED_DEFAULT, SPEED_HIGH, SPEED_WALK, distance_km, earth_cell, parse_post,
 )
-from railweave.operators.scale import HOT_ROWS, Stage, hot_groups, with_neighbour
+from railweave.operators.scale import Stage, in_ranges, with_neighbour
 
 TRANSFER_KM = 8.0
 
@@ -50,20 +50,17 @@ def line_stops(source: DataFrame, nodes: DataFrame) -> DataFrame:
              ).filter(F.col("pk").isNotNull()).join(nodes.select("uic"), "uic", "left_semi")
 
 
-def consecutive_stops(stops: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def consecutive_stops(stops: DataFrame, ranges: int | None = None) -> DataFrame:
     """F2 then F1: neighbours along each line once repeated stops are collapsed.
 
     Equal rows lie side by side in the order (pk, uic), so they are dropped first, with
     map-side aggregation.
     """
-    stage = Stage(stops.sparkSession, "stops")
-    ordered = stage.save(stops.select("line", "uic", "pk").distinct())
-    hot = hot_groups(ordered, "line", "pk", hot_rows)
-    before = with_neighbour(ordered, "line", "pk", ["uic"], ["uic"], -1, "prev_", hot, hot_rows)
-    kept = before.filter(~F.col("uic").eqNullSafe(F.col("prev_uic"))).drop("prev_uic")
-    if hot is not None:
-        kept = stage.save(kept)
-    paired = with_neighbour(kept, "line", "pk", ["uic"], ["uic", "pk"], 1, "next_", hot, hot_rows)
+    ordered = in_ranges(stops.select("line", "uic", "pk").distinct(), "line", "pk", ["uic"], ranges)
+    before = with_neighbour(ordered, "line", "pk", ["uic"], ["uic"], -1, "prev_")
+    kept = Stage(stops.sparkSession, "stops").save(
+        before.filter(~F.col("uic").eqNullSafe(F.col("prev_uic"))).drop("prev_uic"))
+    paired = with_neighbour(kept, "line", "pk", ["uic"], ["uic", "pk"], 1, "next_")
     return paired.filter(F.col("next_uic").isNotNull()).select(
         "line", F.col("uic").alias("src"), F.col("next_uic").alias("dst"),
         "pk", F.col("next_pk").alias("pk_next"))
@@ -79,7 +76,7 @@ def _positions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_edges(stops: DataFrame, nodes: DataFrame, lines: DataFrame,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """(src, dst, line, type, dist_km, weight, speed), in line direction.
 
     ``lines`` is ``line_attributes``.
@@ -87,7 +84,7 @@ def build_edges(stops: DataFrame, nodes: DataFrame, lines: DataFrame,
     along = F.abs(F.col("pk_next") - F.col("pk"))
     direct = distance_km(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))
     fast = F.coalesce("is_high_speed", F.lit(False))
-    return _positions(consecutive_stops(stops, hot_rows), nodes).withColumn(
+    return _positions(consecutive_stops(stops, ranges), nodes).withColumn(
         "dist_km", F.when((along < 0.1) | (along > 500), direct).otherwise(along)
     ).filter(F.col("dist_km") >= 0.1).join(
         lines.select("line", "is_high_speed"), "line", "left"

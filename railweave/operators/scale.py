@@ -10,9 +10,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -113,49 +110,38 @@ def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     return df.repartition(cores * tasks_per_core)
 
 
-def hot_groups(df: DataFrame, group: str, position: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """(group, _n, _lo, _hi) of the groups with more than ``hot_rows`` rows, if there are any.
+def in_ranges(df: DataFrame, group: str, position: str, tie: Sequence[str],
+              ranges: int | None = None) -> DataFrame:
+    """``df`` stored with ``_range``, the number of the range of (group, position, tie) a row lies in.
 
-    One grouped count over ``df``, which should be a stored table or a cheap scan.
+    Ranges follow each other without overlap and hold about equal numbers of rows, however
+    rows bunch.  They are written before use, so that no later pass sees other bounds.
     """
-    extent = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-    hot = Stage(df.sparkSession, "hot").save(extent.filter(F.col("_n") > hot_rows))
-    return None if hot.isEmpty() else hot
+    order = [group, position, *tie]
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return Stage(df.sparkSession, "ranges").save(dealt.withColumn("_range", F.spark_partition_id()))
 
 
-def with_neighbour(
-    df: DataFrame, group: str, position: str, tie: Sequence[str], carry: Sequence[str],
-    offset: int, prefix: str, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def with_neighbour(ranged: DataFrame, group: str, position: str, tie: Sequence[str],
+                   carry: Sequence[str], offset: int, prefix: str) -> DataFrame:
     """Add the previous (-1) or next (+1) row's ``carry`` columns along ``position``.
 
-    Without hot groups this is a plain window.  A group listed in ``hot`` (see
-    ``hot_groups``) is cut into ranges of ``position``; the row at the edge of a range
-    takes its neighbour from a small table of range ends.
+    ``ranged`` comes from ``in_ranges``.  The window runs inside (group, range); the row at
+    the edge of a range takes its neighbour from a small table of range ends.
     """
     order = [position, *tie]
     shift = F.lag if offset < 0 else F.lead
     row = F.struct(*order, *[c for c in carry if c not in order])
-    if hot is None:
-        near = df.withColumn("_near", shift(row).over(Window.partitionBy(group).orderBy(*order)))
-        return near.select(*df.columns, *[F.col("_near")[c].alias(prefix + c) for c in carry])
-
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / hot_rows), F.lit(1e-9))
-    tagged = df.join(hot, group, "left").withColumn(
-        "_range", F.when(F.col("_n").isNull(), F.lit(-1).cast("bigint"))
-        .otherwise(F.floor((F.col(position) - F.col("_lo")) / width))
-    ).drop("_n", "_lo", "_hi")
-    local = Window.partitionBy(group, "_range").orderBy(*order)
-    near = tagged.withColumn("_near", shift(row).over(local))
-    ends = tagged.filter(F.col("_range") >= 0).groupBy(group, "_range").agg(
-        (F.max if offset < 0 else F.min)(row).alias("_end"))
+    near = ranged.withColumn("_near", shift(row).over(
+        Window.partitionBy(group, "_range").orderBy(*order)))
+    ends = ranged.groupBy(group, "_range").agg((F.max if offset < 0 else F.min)(row).alias("_end"))
     across = ends.select(
-        group, "_range",
+        F.col(group).alias("_group"), F.col("_range").alias("_of"),
         shift("_end").over(Window.partitionBy(group).orderBy("_range")).alias("_across"))
-    joined = near.join(across, [group, "_range"], "left")
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of"))
     value = F.coalesce("_near", "_across")
-    return joined.select(*df.columns, *[value[c].alias(prefix + c) for c in carry])
+    return near.join(across, same).select(
+        *ranged.columns, *[value[c].alias(prefix + c) for c in carry])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
