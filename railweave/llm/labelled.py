@@ -11,6 +11,19 @@ def crc_rest(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and y, the largest label of each id that has one."""
+    return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(label).alias("y"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> dict[int, int]:
+    """Rows of ``docs`` per value of ``label``: those that ``labelled_sample`` draws from."""
+    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).join(
+        _known(labels, label).filter(allowed), "doc_id")
+    return {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("_rows").alias("n")).collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_value: int,
                     columns: list[str]) -> DataFrame:
     """``columns`` and y of at most ``per_value`` documents for each value of ``label``.
@@ -18,9 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     The sample is drawn on ids alone (smallest md5 first).  Its size is bounded, so it is broadcast and
     texts stay where they are.  Ids with several labels take the largest; null labels and ids are left out.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(label).alias("y"))
-    here = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").filter(allowed)
+    here = _known(labels, label).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").filter(allowed)
     order = Window.partitionBy("y").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     taken = here.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_value)
     picked = F.broadcast(taken.select(F.col("doc_id").alias("_id"), "y"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from railweave.llm import bytewords as bw
 from railweave.llm.frames import stored
-from railweave.llm.labelled import crc_rest, labelled_sample
+from railweave.llm.labelled import crc_rest, labelled_rows, labelled_sample
 
 #: Labelled documents per label value that are used for the fit at most.
 TRAIN_PER_LABEL = 10_000
@@ -101,12 +101,16 @@ class Forest:
         return 1 / (1 + np.exp(-out))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Forest:
-    """Grow the trees level by level from histograms of gradients; without labels the score is 1/2."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Forest:
+    """Grow the trees level by level from histograms of gradients; without labels the score is 1/2.
+
+    ``weight`` says how many labelled rows a row of the sample stands for; only the proportions count.
+    """
     empty = np.zeros((0, 2 ** DEPTH - 1))
     if not len(y):
         return Forest(0.0, empty.astype(int), empty, np.zeros((0, 2 ** DEPTH)))
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    weight = weight / weight.mean()
+    share = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     n, f = x.shape
     bars = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(f)]
@@ -116,7 +120,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     features, tops, leaves = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         feature = np.zeros(2 ** DEPTH - 1, np.int64)
         top = np.full(2 ** DEPTH - 1, np.inf)
         node = np.zeros(n, np.int64)
@@ -169,13 +173,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PE
     Labels (doc_id, quality) of documents whose crc32 mod 5 is 0 are never read; null labels are left out.
     Null and empty texts have all statistics 0 and get the score of these.  A row without doc_id is scored
     and not held out.  Other columns are ignored, repeated rows are scored each; no rows give no rows, and
-    without labels every score is 1/2.
+    without labels every score is 1/2.  Sampled rows weigh as much as all rows with their label that may be
+    read, so scores do not depend on the mix of the sample.
     """
     rows = stored(measured(docs), "statistics")
-    sample = labelled_sample(rows, labels, "quality", crc_rest(F.col("doc_id"), 5) != 0, per_label,
-                             ["doc_id", *STATISTICS]).orderBy("doc_id", *STATISTICS).toArrow()
+    allowed = crc_rest(F.col("doc_id"), 5) != 0
+    sample = labelled_sample(rows, labels, "quality", allowed, per_label, ["doc_id", *STATISTICS]).orderBy("doc_id", *STATISTICS).toArrow()
     x = np.stack([sample.column(c).to_numpy() for c in STATISTICS], axis=1)
-    forest = fit(x, (sample.column("y").to_numpy() > 0).astype(float))
+    counts = labelled_rows(rows, labels, "quality", allowed)
+    y = sample.column("y").to_numpy()
+    values, at, seen = np.unique(y, return_inverse=True, return_counts=True)
+    weight = np.array([counts[v] for v in values.tolist()], float) / seen
+    forest = fit(x, (y > 0).astype(float), weight[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,6 +57,19 @@ def test_classifier_on_held_out(spark, name, label, modulus, rest):
     assert np.mean([p == t for p, t in held]) > 0.95
 
 
+def test_quality_sample_keeps_the_mix_of_labels(spark):
+    rows = [(i, "plain words of a text" if i % 2 else "$$ || ## ** !!") for i in range(4000)]
+    good = {i: int(crc(f"q{i}") % 100 < (95 if i % 2 else 60)) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    for per_label in (300, 10_000):
+        got = quality_classifier.quality_scores(docs, labels, per_label).collect()
+        for kind in (0, 1):
+            held = [r for r in got if r["doc_id"] % 2 == kind]
+            share = np.mean([good[r["doc_id"]] for r in held])
+            assert abs(np.mean([r["score"] for r in held]) - share) < 0.05
+
+
 def test_language_on_held_out(spark, tables, sf_dir):
     got = contract.queries()["op7_language"](spark, sf_dir).collect()
     truth = {r["doc_id"]: r["lang"] for r in tables["documents"].select("doc_id", "lang").collect()}
