@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railweave.llm import bytewords as bw
-from railweave.llm.frames import stored
+from railweave.llm.frames import count_words, stored
 
 WINDOW = 20
 PERIOD = 13
@@ -31,6 +31,9 @@ ANCHOR = WINDOW - PERIOD + 1
 #: A row without an id comes after all others.
 NO_ID = (1 << 63) - 1
 
+#: Copies of one row that a task writes at once.
+COPIES = 10_000
+
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -46,10 +49,16 @@ def _settle(key: np.ndarray, own: np.ndarray, order: np.ndarray) -> tuple[np.nda
     return by_key, np.where(first, key[by_key], own[by_key]), ~first
 
 
+def _own(key: np.ndarray, rid: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys that are each row's own."""
+    row = rid.astype(np.uint64) * np.uint64(0x100000001B3) + bw.mix(tie.astype(np.uint64))
+    return bw.mix(key ^ bw.mix(row + place.astype(np.uint64)))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for low, high, data, offsets in bw.slices(batch.column(1)):
+        ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for low, high, data, offsets in bw.slices(batch.column(2)):
             w = bw.words(data, offsets)
             long_enough = w.counts() >= WINDOW
             at, key = bw.windows(w.hash, w.doc, ANCHOR)
@@ -59,8 +68,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, key, place = at[take], key[take], place[take]
             if not len(at):
                 continue
-            rid = ids[low:high][w.doc[at]]
-            own = bw.mix(key ^ bw.mix(rid.astype(np.uint64) * np.uint64(0x100000001B3) + place.astype(np.uint64)))
+            rid, tie = ids[low:high][w.doc[at]], ties[low:high][w.doc[at]]
+            own = _own(key, rid, tie, place)
             row, sent, known = _settle(key, own, np.arange(len(at)))
             # The representative of a key met twice here is a repetition too; it is sent once more as known.
             twin = np.flatnonzero(~known[:-1] & known[1:]) if len(row) > 1 else np.zeros(0, int)
@@ -69,16 +78,16 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.concatenate((known, np.ones(len(twin), bool)))
             place = place[row] * 2 + known
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sent.view(np.int64)), pa.array(rid[row]), pa.array(place.astype(np.int64))],
-                names=["key", "rid", "place"])
+                [pa.array(sent.view(np.int64)), pa.array(rid[row]), pa.array(tie[row]), pa.array(place.astype(np.int64))],
+                names=["key", "rid", "tie", "place"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around a repeated anchor, with the hash of all their words."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        marks = batch.column(2)
-        for low, high, data, offsets in bw.slices(batch.column(1)):
+        ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        marks = batch.column(3)
+        for low, high, data, offsets in bw.slices(batch.column(2)):
             w = bw.words(data, offsets)
             firsts = w.firsts()
             at, one = bw.windows(w.hash, w.doc, WINDOW)
@@ -97,27 +106,23 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             two = bw.range_hash(bw.words(data, offsets, table=1).hash, at, at + WINDOW)
-            rid = ids[low:high][w.doc[at]]
+            rid, tie = ids[low:high][w.doc[at]], ties[low:high][w.doc[at]]
             place = at - firsts[w.doc[at]]
             both = bw.mix(one) ^ two
-            own = bw.mix(both ^ bw.mix(rid.astype(np.uint64) * np.uint64(0x100000001B3) + place.astype(np.uint64)))
-            row, sent, known = _settle(both, own, np.lexsort((place, rid)))
-            # The same start of a row that is there twice is not an earlier one.
-            same = np.zeros(len(row), bool)
-            lead = np.maximum.accumulate(np.where(known, 0, np.arange(len(row))))
-            same[known] = ((rid[row] == rid[row[lead]]) & (place[row] == place[row[lead]]))[known]
-            row, sent, known = row[~same], sent[~same], known[~same]
+            own = _own(both, rid, tie, place)
+            row, sent, known = _settle(both, own, np.lexsort((place, tie, rid)))
             info = (np.where(known, own[row], one[row]) >> np.uint64(32) << np.uint64(32)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sent.view(np.int64)), pa.array(rid[row]), pa.array(info | place[row] << 1 | known)],
-                names=["key", "rid", "info"])
+                [pa.array(sent.view(np.int64)), pa.array(rid[row]), pa.array(tie[row]),
+                 pa.array(info | place[row] << 1 | known)],
+                names=["key", "rid", "tie", "info"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digest, texts = [], [], [], []
-        marks = batch.column(2)
-        for low, high, data, offsets in bw.slices(batch.column(1)):
+        marks = batch.column(1)
+        for low, high, data, offsets in bw.slices(batch.column(0)):
             w = bw.words(data, offsets)
             firsts = w.firsts()
             part = marks.slice(low, high - low)
@@ -149,27 +154,51 @@ def _kept(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.Rec
                 n_words.append(int(firsts[d + 1] - firsts[d]))
                 n_removed.append(int(removed[firsts[d + 1]] - removed[firsts[d]]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(3), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            [batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
              pa.array(digest, pa.string()), pa.array(texts, pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(rid, place): starts of windows whose word sequence also starts earlier."""
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.col("text"))
-    anchors = ids.filter(F.col("text").isNotNull()).mapInArrow(_anchors, "key long, rid long, place long")
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents under keys of their own, rows too short to lose a word, and later copies of documents.
+
+    The key (rid, tie) of a document sorts as (doc_id, null last; hash of the text; number).  Rows whose
+    doc_id is theirs alone have tie 0.  Others are stored once per (doc_id, text) with their tie; a later
+    copy (doc_id, tie, n_words, copies) loses all its words, so it is only counted.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = rows.filter(F.col("doc_id").isNotNull())
+    shared = stored(named.groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id"), "shared-ids")
+    others = named.join(shared, "doc_id", "left_semi").select("doc_id", "text").unionByName(
+        rows.filter(F.col("doc_id").isNull())).withColumn("n_words", count_words(F.col("text")))
+    texts = others.filter(F.col("n_words") >= WINDOW).groupBy("doc_id", "text", "n_words").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 17))
+    number = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("text"))
+    apart = stored(texts.withColumn("tie", F.shiftleft("hash", 16) + number).drop("hash"), "texts-of-shared-ids")
+    alone = named.join(shared, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("rid"), F.lit(0).cast("bigint").alias("tie"), "text", "doc_id")
+    whole = alone.unionByName(apart.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), "tie", "text", "doc_id"))
+    copies = apart.filter(F.col("n") > 1).select(
+        "doc_id", "tie", "n_words", (F.col("n") - 1).alias("copies"))
+    return whole, others.filter(F.col("n_words") < WINDOW).select("text", "doc_id"), copies
+
+
+def repeated_windows(whole: DataFrame) -> DataFrame:
+    """(rid, tie, place): starts of windows whose word sequence also starts earlier."""
+    ids = whole.select("rid", "tie", "text")
+    anchors = ids.filter(F.col("text").isNotNull()).mapInArrow(_anchors, "key long, rid long, tie long, place long")
     repeated = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter(
         (F.col("n") > 1) | (F.col("place") % 2 == 1))
-    marks = stored(repeated.groupBy("rid").agg(F.collect_set(F.expr("place div 2")).alias("places")), "marks")
+    marks = stored(repeated.groupBy("rid", "tie").agg(F.collect_set(F.expr("place div 2")).alias("places")), "marks")
     # info: 32 bits of a second hash, the start, and whether the window is a known repetition.
-    windows = ids.join(marks, "rid").select("rid", "text", "places").mapInArrow(
-        _candidates, "key long, rid long, info long").repartition("key")
-    windows = windows.select("key", "rid", F.shiftright("info", 32).alias("check"), F.expr("(info & 4294967295) div 2").alias(
-        "place"), (F.col("info") % 2 != 0).alias("known"))
-    here = F.struct("rid", "place")
+    windows = ids.join(marks, ["rid", "tie"]).select("rid", "tie", "text", "places").mapInArrow(
+        _candidates, "key long, rid long, tie long, info long").repartition("key")
+    windows = windows.select("key", "rid", "tie", F.shiftright("info", 32).alias("check"), F.expr(
+        "(info & 4294967295) div 2").alias("place"), (F.col("info") % 2 != 0).alias("known"))
+    here = F.struct("rid", "tie", "place")
     earliest = F.min(here).over(Window.partitionBy("key", "check"))
     return windows.withColumn("earliest", earliest).filter(
-        F.col("known") | (here > F.col("earliest"))).select("rid", "place")
+        F.col("known") | (here > F.col("earliest"))).select("rid", "tie", "place")
 
 
 def dedup_substrings(docs: DataFrame, texts: bool = True) -> DataFrame:
@@ -178,11 +207,22 @@ def dedup_substrings(docs: DataFrame, texts: bool = True) -> DataFrame:
     ``docs`` has doc_id and text; other columns are ignored.  Returns doc_id, n_words, n_removed,
     kept_sha256 and kept_text (null unless ``texts``), one row per row of ``docs``.  Null and empty texts have no words and keep
     the digest of nothing.  Earlier means a smaller doc_id (null: after all others), or an earlier start in
-    the same document; rows that repeat a doc_id count as one document, so equal starts do not remove each
-    other.  No rows give no rows.
+    the same row; each row is a document of its own, and rows of one doc_id (or of none) come in the order of
+    the hashes of their texts, of which equal texts keep one.  No rows give no rows.
     """
-    windows = stored(repeated_windows(docs), "repeated-windows")
-    gone = windows.groupBy("rid").agg(F.collect_set("place").alias("places"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), "text", "doc_id")
-    return rows.join(gone, "rid", "left").select("rid", "text", "places", "doc_id").mapInArrow(
-        lambda batches: _kept(batches, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    whole, short, copies = keyed(docs)
+    windows = stored(repeated_windows(whole), "repeated-windows")
+    gone = windows.groupBy("rid", "tie").agg(F.collect_set("place").alias("places"))
+    cut = whole.join(gone, ["rid", "tie"], "left").select("text", "places", "doc_id").unionByName(
+        short.select("text", F.lit(None).cast("array<bigint>").alias("places"), "doc_id")).mapInArrow(
+        lambda batches: _kept(batches, texts), fields)
+    # The copies of a row are dealt out in parts, so that no task writes all of them.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = copies.withColumn("part", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {COPIES}")))).repartition(tasks, "tie", "part")
+    each = part.withColumn("copy", F.explode(F.sequence(
+        F.lit(1).cast("bigint"), F.least(F.lit(COPIES).cast("bigint"), F.col("copies") - F.col("part") * COPIES))))
+    return cut.unionByName(each.select(
+        "doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"),
+        F.lit("" if texts else None).cast("string").alias("kept_text")))

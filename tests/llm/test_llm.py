@@ -222,6 +222,20 @@ def test_odd_rows(spark, odd, tables):
         assert stage(spark, odd, "unused").columns == odd.columns
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    def part(name, n=30):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(1, part("a")), (None, part("a") + " tail"), (None, part("b")), (None, part("c")), (None, part("c")),
+            (None, part("c")), (None, "few words"), (None, "few words"), (None, None), (2, part("d")), (2, part("e")),
+            (2, part("d")), (2, part("a") + " " + part("f"))]
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted([
+        (1, 30, 0, part("a")), (0, 31, 30, "tail"), (0, 30, 0, part("b")), (0, 30, 0, part("c")), (0, 30, 30, ""),
+        (0, 30, 30, ""), (0, 2, 0, "few words"), (0, 2, 0, "few words"), (0, 0, 0, ""), (2, 30, 0, part("d")),
+        (2, 30, 0, part("e")), (2, 30, 30, ""), (2, 60, 30, part("f"))])
+
+
 def test_empty_tables(spark, odd, tables):
     docs = odd.limit(0)
     labels = tables["labels"].limit(0)
