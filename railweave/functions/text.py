@@ -50,17 +50,24 @@ def _fold_table() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _composition_map() -> str:
-    """'pair=char' entries for every canonical two-part composition."""
-    entries = []
-    for code in range(0xC0, sys.maxunicode + 1):
+def _unsettled_characters() -> str:
+    """Pattern of the characters that canonical composition may move, join or replace; none is below U+0300."""
+    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    found = []
+    for code in range(0x300, sys.maxunicode + 1):
         char = chr(code)
         parts = unicodedata.decomposition(char).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
-            pair = chr(int(parts[0], 16)) + chr(int(parts[1], 16))
-            if unicodedata.normalize("NFC", pair) == char:
-                entries.append(f"{pair}\u0001{char}")
-    return "\u0002".join(entries)
+            seconds.add(int(parts[1], 16))
+        if unicodedata.combining(char) or not unicodedata.is_normalized("NFC", char):
+            found.append(code)
+    ranges = []
+    for code in sorted(seconds.union(found)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return rf"[\x{{300}}-\x{{10FFFF}}&&[{''.join(rf'\x{{{a:X}}}-\x{{{b:X}}}' for a, b in ranges)}]]"
 
 
 @lru_cache(maxsize=1)
@@ -122,31 +129,21 @@ def split_keys(keys: Column) -> Column:
     return F.filter(F.transform(F.split(keys, ";"), strip_blanks), lambda k: k != "")
 
 
-def normalize_unicode(text: Column) -> Column:
-    """Canonical composition, JVM-side.
-
-    Only rows that hold a combining mark are touched.  Each pass glues a base letter
-    to the mark behind it, so three passes cover stacks of three marks in canonical
-    order; ``normalize_unicode_exact`` also reorders marks.
-    """
-    pairs = F.str_to_map(F.lit(_composition_map()), F.lit("\u0002"), F.lit("\u0001"))
-
-    def compose(value: Column) -> Column:
-        units = F.regexp_extract_all(value, F.lit(r"((?s)\P{Mn}\p{Mn}?|\p{Mn})"), 1)
-        return F.array_join(
-            F.transform(units, lambda u: F.when(F.length(u) == 1, u).otherwise(
-                F.coalesce(F.try_element_at(pairs, u), u))), "")
-
-    has_mark = text.rlike(r"\p{Mn}")
-    return F.when(has_mark, compose(compose(compose(text)))).otherwise(text)
-
-
 @F.pandas_udf(T.StringType())
 def normalize_unicode_exact(text: pd.Series) -> pd.Series:
     """B5 for any script, in Arrow batches."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def normalize_unicode(text: Column) -> Column:
+    """Canonical composition.
+
+    Only rows that hold a mark, a jamo or another character that composition may change go through
+    ``normalize_unicode_exact``; the others stay in the JVM, and their place in its batches is null.
+    """
+    return F.coalesce(normalize_unicode_exact(F.when(text.rlike(_unsettled_characters()), text)), text)
+
+
 def normalize_apostrophes(text: Column) -> Column:
     """B6."""
     return F.translate(text, W.APOSTROPHES, "'" * len(W.APOSTROPHES))

@@ -76,6 +76,16 @@ def test_unicode_composition(spark):
         assert one(spark, text.normalize_unicode, value) == want
 
 
+def test_unicode_composition_of_any_text(spark):
+    values = ["e\u0301a\u0323\u0302", "a\u0302\u0323", "q\u0307\u0323", "\u1112\u1161\u11ab\u1100\u1173\u11af", "\uac00\u11a8",
+              "o" + "\u0323\u0302\u0301\u0300\u031b", "\u212b \u2126", "\u09c7\u09be", "\U00011099\U000110ba", "plain é", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").select(
+        "i", text.normalize_unicode(F.col("t")).alias("n"), text.clean_text(F.col("t")).alias("c"))
+    for r in df.collect():
+        want = None if values[r["i"]] is None else unicodedata.normalize("NFC", values[r["i"]])
+        assert r["n"] == want and r["c"] == (want or "")
+
+
 def test_artifacts(spark):
     assert one(spark, text.clean_artifacts, "[music] Bonjour ... [noise] toi") == "Bonjour toi"
     assert one(spark, text.is_pure_artifact, "[coupure] *bruit* …") is True
