@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the whole tables, with the columns of their contracts."""
+"""Queries of the operators over the whole tables, with the columns of their contracts."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm import decontamination, language, mixing, near_duplicates, quality_classifier, quality_rules
-from railweave.llm import sharding, substrings, toxicity, url_filter
+from railweave.llm import decontamination, fill_middle, language, license_scan, mixing, near_duplicates
+from railweave.llm import quality_classifier, quality_rules, sharding, spelling, substrings, toxicity, url_filter
 from railweave.llm.frames import stored
 from railweave.llm.sql import ORACLES  # noqa: F401
 
@@ -93,3 +93,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
     return mixing.mix_sources(stored(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of the documents."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in the middle, and restored."""
+    return fill_middle.fill_in_middle(read(spark, sf_dir, "documents"), texts=False).drop("output")
+
+
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")

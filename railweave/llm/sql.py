@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from railweave.llm import license_scan
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 #: Number of the hash range never matters to the result, so the twins sort each source as a whole.
 ORACLES: dict[str, str] = {}
@@ -93,3 +95,71 @@ q AS (SELECT *, pos * 8 // total AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos - (shard * total + 7) // 8)::BIGINT AS slot,
   NULL::INTEGER AS grown_shard FROM q
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_spelling"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n FROM o WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT *, hex(encode(id || ':' || run)) AS bytes FROM c),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(bytes) // 2),
+        lambda i: ('0x' || substr(bytes, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+        lambda a, z: xor(a // 256, crc.steps[xor(a, z) % 256 + 1])), 4294967295::BIGINT) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run) + 2)::BIGINT:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT x.word AS a, y.word AS b, y.n FROM d x JOIN d y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+      UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+m AS (SELECT a AS word, count(*) AS n_near, max(n) AS top FROM p GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(m.n_near, 0)::BIGINT AS n_near, CASE WHEN m.top >= 5 * v.n THEN m.top END AS form_n FROM v LEFT JOIN m ON v.word = m.word),
+g AS (SELECT f.word, min(encode(p.b)) AS first FROM f JOIN p ON p.a = f.word AND p.n = f.form_n GROUP BY f.word),
+e AS (SELECT f.*, decode(g.first) AS form FROM f LEFT JOIN g ON f.word = g.word),
+r AS (SELECT word, word AS root FROM e UNION ALL SELECT r.word, e.form FROM r JOIN e ON r.root = e.word WHERE e.form IS NOT NULL)
+SELECT e.word, e.form, r.root, e.n, e.n_near, e.form_n::BIGINT AS form_n
+FROM e JOIN r ON r.word = e.word JOIN e AS last ON last.word = r.root AND last.form IS NULL
+"""
+
+ORACLES["op12_fill_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+        sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, len(w)::BIGINT AS n, [('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT] AS k FROM d),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 90 THEN 'plain'
+             WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+q AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM q
+"""
+
+_TEMPLATES = ", ".join(f"({i}, '{t}', '{label}', {exact})" for i, (t, label, exact) in enumerate(
+    [(*p, True) for p in license_scan.PHRASES] + [(*n, False) for n in license_scan.NOTICES]))
+_PARTS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op13_licenses"] = rf"""
+WITH given AS (SELECT * FROM (VALUES {_TEMPLATES}) z(template, text, label, exact)),
+t AS (SELECT template, label, exact, {_PARTS} AS w FROM given),
+tg AS (SELECT template, label, exact, len(w) AS size, j - 1 AS j, w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] AS gram
+       FROM (SELECT *, unnest(range(1, len(w) - 1)) AS j FROM t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_PARTS} AS w FROM documents),
+g AS (SELECT rid, i - 1 AS i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+m AS (SELECT g.rid, tg.*, g.i FROM g JOIN tg ON g.gram = tg.gram),
+base AS (SELECT rid, label, i - j AS start FROM m WHERE exact GROUP BY rid, template, label, size, i - j HAVING count(*) = size - 2),
+s AS (SELECT *, i - j AS diagonal FROM m WHERE NOT exact),
+u AS (SELECT DISTINCT rid, template, diagonal FROM s),
+b AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER w > 4, true)::INT AS begins FROM u WINDOW w AS (PARTITION BY rid, template ORDER BY diagonal)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM b),
+k AS (SELECT DISTINCT s.rid, s.template, s.label, s.size, n.span, s.j + o AS place FROM s
+      JOIN n ON n.rid = s.rid AND n.template = s.template AND n.diagonal = s.diagonal, (VALUES (0), (1), (2)) x(o)),
+c AS (SELECT rid, label, count(*) / size AS share FROM k GROUP BY rid, template, label, size, span),
+a AS (SELECT rid, label, true AS base, start, 1.0::DOUBLE AS share FROM base UNION ALL SELECT rid, label, false, NULL, share FROM c),
+r AS (SELECT rid, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, max(share) AS score,
+        coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ','), '') AS base_labels,
+        coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base OR share >= 0.6))), ','), '') AS labels FROM a GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r ON d.rid = r.rid
+"""
