@@ -17,27 +17,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col(score) < toxicity.BAR).select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, hash of the text) is not in ``gone`` (doc_id, text_hash); nulls match."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")),
+                     "left_anti").select("row.*")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id; of repeated rows (doc_id and text) one stays.
+    """One document of each group: the smallest doc_id; of repeated rows (doc_id and text) one stays, the
+    one whose other columns have the smallest hash.
 
-    Rows without doc_id and empty texts are in no group and stay.
+    Every row is judged by its own text, also where a doc_id is repeated.  Rows without doc_id and empty
+    texts are in no group and stay.
     """
-    gone = near_duplicates.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = _without(docs, near_duplicates.judged(docs).filter(~F.col("kept")))
     known, unknown = left.filter(F.col("doc_id").isNotNull()), left.filter(F.col("doc_id").isNull())
-    return known.dropDuplicates(["doc_id", "text"]).unionByName(unknown)
+    row = F.struct(*docs.columns)
+    first = known.groupBy("doc_id", "text").agg(F.min_by(row, F.xxhash64(row)).alias("row"))
+    return first.select("row.*").unionByName(unknown)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without doc_id stay."""
-    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; every row is judged by its own text, also without doc_id."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = decontamination.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keys=("doc_id", "text_hash"))
+    return _without(docs, found)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them: none, once or in several epochs."""
     rows = docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"),
-                       F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
+                       F.md5("text").alias("tie"), F.struct(*docs.columns).alias("row"))
     taken = mixing.mix_sources(rows, tie=("tie",)).filter(F.col("copies") > 0)
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 

@@ -8,7 +8,7 @@ those of the left side (divided by the singular values).  Windows of ``PASSAGE``
 overlapping by half, meet the passages of the benchmark by cosine in that space.  Candidates that share too
 little weight of terms with the item fall out; for the others the longest common subsequence of words between the item and the surroundings of the
 window decides: ``LEAK_SHARE`` of the item is a leak, and from ``PARAPHRASE_SHARE`` on it is one if the
-answer (the item's last sentence) is there as well.
+answer (the item's last sentence, or its last fifth if it is one sentence) is there as well.
 
 The benchmark is the stated query set; it meets all documents in blocks of ``BLOCK_ITEMS`` items, so a
 task holds one bounded block.
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from railweave.llm import bytewords as bw
 
@@ -139,9 +140,9 @@ def prepare(ids: list[int], texts: list[str], vectors: np.ndarray, idf: np.ndarr
         term = _terms(w)
         held[k, term], mass[k] = True, idf[term].sum()
         hashes.append(w.hash)
-        # The answer begins after the last sentence end before the last word.
+        # The answer begins after the last sentence end before the last word; else it is the last fifth.
         ends = [i for i in range(len(w.start) - 1) if raw[w.end[i] - 1:w.end[i]] in (b".", b"?", b"!", b":")]
-        answer.append(ends[-1] + 1 if ends else 0)
+        answer.append(ends[-1] + 1 if ends else len(term) - -(-len(term) // 5))
         last = max(0, len(term) - PASSAGE)
         for at in sorted({*range(0, last, ITEM_STEP), last}):
             owner.append(k)
@@ -214,43 +215,48 @@ def search(data: np.ndarray, offsets: np.ndarray, items: Items, vectors: np.ndar
     return [(d, i, common, cosine) for (d, i), (common, cosine) in best.items()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, common_words, item_words, cosine): documents that hold benchmark items.
+def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS,
+          keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, item_id, common_words, item_words, cosine): documents that hold benchmark items.
 
-    Null and empty texts and items match nothing; the empty benchmark gives no rows.  Rows that repeat a
-    doc_id are searched each and reported once per item, with the most common words; null doc_ids are
-    reported as null.  Words are compared with A-Z lower-cased.  Other columns are ignored.
+    ``docs`` has text and the columns ``keys``, which name a row.  Null and empty texts and items match
+    nothing; the empty benchmark gives no rows.  Rows that repeat a key are searched each and reported once
+    per item, with the most common words; null keys are reported as null.  Words are compared with A-Z
+    lower-cased.  Other columns are ignored.
     """
     found = None
     idf = inverse_frequencies(docs)
     vectors = directions(docs, idf)
-    # The driver holds one block of items at a time.
+    rows = docs.select(*keys, "text")
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string(
+        "item_id long, common_words long, item_words long, cosine double").fields])
+    # The driver collects one block of items after the other; the searches hold theirs until they have run.
     numbered = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).withColumn(
         "part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-benchmark.count() // block_items)))))
     for (part,) in numbered.select("part").distinct().orderBy("part").collect():
-        rows = numbered.filter(F.col("part") == part).select("item_id", "text").collect()
-        items = prepare([r["item_id"] for r in rows], [r["text"] for r in rows], vectors, idf)
-        here = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-            _finder(items, vectors, idf), "doc_id long, item_id long, common_words long, item_words long, cosine double")
+        block = numbered.filter(F.col("part") == part).select("item_id", "text").collect()
+        items = prepare([r["item_id"] for r in block], [r["text"] for r in block], vectors, idf)
+        here = rows.mapInArrow(_finder(items, vectors, idf), schema)
         found = here if found is None else found.union(here)
     if found is None:
-        return docs.sparkSession.createDataFrame(
-            [], "doc_id long, item_id long, common_words long, item_words long, cosine double")
-    return found.groupBy("doc_id", "item_id", "item_words").agg(
+        return docs.sparkSession.createDataFrame([], schema)
+    return found.groupBy(*keys, "item_id", "item_words").agg(
         F.max(F.struct("common_words", "cosine")).alias("best")).select(
-        "doc_id", "item_id", "best.common_words", "item_words", F.col("best.cosine").alias("cosine"))
+        *keys, "item_id", "best.common_words", "item_words", F.col("best.cosine").alias("cosine"))
 
 
 def _finder(items: Items, vectors: np.ndarray, idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, _, data, offsets in bw.slices(batch.column(1)):
+            n = batch.num_columns - 1
+            for low, _, data, offsets in bw.slices(batch.column(n)):
                 rows = search(data, offsets, items, vectors, idf)
+                at = pa.array([low + r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([low + r[0] for r in rows], pa.int64())),
+                    [*[batch.column(i).take(at) for i in range(n)],
                      pa.array([int(items.ids[r[1]]) for r in rows], pa.int64()),
                      pa.array([r[2] for r in rows], pa.int64()),
                      pa.array([len(items.hashes[r[1]]) for r in rows], pa.int64()),
                      pa.array([r[3] for r in rows], pa.float64())],
-                    names=["doc_id", "item_id", "common_words", "item_words", "cosine"])
+                    names=[*batch.schema.names[:n], "item_id", "common_words", "item_words", "cosine"])
     return run

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from railweave.llm.frames import count_words, fresh, stored
+from railweave.llm.frames import count_words, stored
 from railweave.llm.sharding import hash_range, ranges_for, shuffle_key
 
 SEED = 23
@@ -50,31 +50,33 @@ def mix_sources(docs: DataFrame, seed: int = SEED, tie: tuple[str, ...] = ()) ->
     the rest of the source's budget reaches in hash order; at most one row per source is cut inside.
     ``copies`` counts whole rows instead: a row that begins inside the rest is taken whole.  No row exceeds
     ``EPOCHS`` times its size.  Null sources are one source, sorted last; null and empty texts have size 0
-    and are taken 0 words; rows of equal hash are ordered by doc_id and ``tie``.  An existing column of one
-    of the new names is replaced.  No rows give no rows.
+    and are taken 0 words.  The hash order covers doc_id and the columns ``tie``, so rows that share an id or
+    have none keep one order if ``tie`` tells them apart (a digest of the text does).  An existing column of
+    one of the new names is replaced.  No rows give no rows.
     """
     if "size" not in docs.columns:
         docs = docs.withColumn("size", count_words(F.col("text")))
     docs = docs.drop("source_size", "target", "taken", "copies")
-    kept = docs.columns
     ranges = ranges_for(docs)
-    key, part = fresh(docs, "_key"), fresh(docs, "_part")
-    keyed = docs.withColumn(key, shuffle_key(seed, F.col("doc_id"))).withColumn(
-        part, hash_range(F.col(key), ranges))
-    sums = stored(keyed.groupBy("source", part).agg(F.sum("size").alias("_sum")), "mix-sums")
-    before = Window.partitionBy("source").orderBy(part)
-    starts = sums.select("source", part, (F.sum("_sum").over(before) - F.col("_sum")).alias("_start"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")))
-    starts = starts.alias("s").join(targets.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("s.source").alias("_source"), F.col(f"s.{part}").alias("_at"), "_start", "source_size", "target")
-    inside = Window.partitionBy("source", part).orderBy(key, "doc_id", *tie).rowsBetween(
+    # The row travels as one struct, so that no column of it meets a name used here.
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("source").alias("src"), F.col("size").alias("words"),
+        F.struct(shuffle_key(seed, F.col("doc_id"), *[F.col(c) for c in tie]).alias("key"), "doc_id", *tie).alias("order")
+    ).withColumn("part", hash_range(F.col("order.key"), ranges))
+    sums = stored(keyed.groupBy("src", "part").agg(F.sum("words").alias("sum")), "mix-sums")
+    before = Window.partitionBy("src").orderBy("part")
+    starts = sums.select("src", "part", (F.sum("sum").over(before) - F.col("sum")).alias("start"))
+    targets = source_targets(sums.groupBy(F.col("src").alias("source")).agg(F.sum("sum").alias("source_size")))
+    starts = starts.join(targets, F.col("src").eqNullSafe(F.col("source"))).select(
+        F.col("src").alias("of"), F.col("part").alias("at"), "start", "source_size", "target")
+    inside = Window.partitionBy("src", "part").orderBy("order").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = keyed.withColumn("_local", F.sum("size").over(inside) - F.col("size"))
-    joined = local.join(starts, local["source"].eqNullSafe(starts["_source"]) & (local[part] == starts["_at"]))
+    local = keyed.withColumn("local", F.sum("words").over(inside) - F.col("words"))
+    joined = local.join(starts, F.col("src").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
-    rest = budget - F.col("_epochs") * F.col("source_size") - F.col("_start") - F.col("_local")
-    return joined.withColumn("_epochs", epochs.cast("bigint")).withColumn("_rest", rest).select(
-        *kept, "source_size", "target",
-        (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least("_rest", "size"))).cast("bigint").alias("taken"),
-        (F.col("_epochs") + (F.col("_rest") > 0).cast("int")).cast("int").alias("copies"))
+    rest = budget - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("local")
+    return joined.withColumn("epochs", epochs.cast("bigint")).withColumn("rest", rest).select(
+        "row.*", "source_size", "target",
+        (F.col("epochs") * F.col("words") + F.greatest(F.lit(0), F.least("rest", "words"))).cast("bigint").alias("taken"),
+        (F.col("epochs") + (F.col("rest") > 0).cast("int")).cast("int").alias("copies"))

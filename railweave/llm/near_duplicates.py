@@ -3,7 +3,8 @@
 1. One pass over the texts makes, per document, the size and a 128-bit digest of its shingle set,
    ``BANDS`` band keys of ``ROWS`` MinHash values each, and the odd sketch: every MinHash value toggles one
    of ``BITS`` bits.  The population count of two XORed sketches tells how many values differ.
-2. Equal sets form classes; the smallest doc_id stands for its class from here on.
+2. Equal sets form classes; a class has a number of its own, and one of its rows, named by (doc_id, hash of
+   the text), lends it the text.
 3. Classes that share a band are joined to neighbourhoods by stars on the smallest id of each band, so a
    band met by a third of all documents gives one link per document and never all pairs.
 4. A neighbourhood is searched inside tasks of bounded size (``BLOCK`` shingles): a breadth-first walk
@@ -13,7 +14,7 @@
    apart after that meets block by block, without exception.
 
 At a similarity of 0.8 all 45 bands miss a pair with probability (1 - 0.8**6)**45 = 1.2e-6; the bar for
-the sketches lies six standard deviations below the expectation at 0.8.
+the sketches is a maximum of differing bits, six standard deviations above the expectation at 0.8.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def sketches(value: np.ndarray, starts: np.ndarray, bands: bool) -> tuple[np.nda
 
 def _features(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, data, offsets in bw.slices(batch.column(1)):
+        for low, high, data, offsets in bw.slices(batch.column(2)):
             value, firsts = shingle_sets(data, offsets, n)
             size = np.diff(firsts)
             full = np.flatnonzero(size)
@@ -97,13 +98,13 @@ def _features(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             has = size > 0
             ends = np.concatenate(([0], np.cumsum(has))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(low, high - low), pa.array(size.astype(np.int64)),
+                *[batch.column(i).slice(low, high - low) for i in (0, 1)], pa.array(size.astype(np.int64)),
                 pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(keys.ravel().view(np.int64))),
                 pa.Array.from_buffers(pa.binary(), high - low, [
                     None, pa.py_buffer((ends * (BITS // 8)).astype(np.int32).tobytes()),
                     pa.py_buffer(odd.tobytes())]),
-            ], names=["doc_id", "n_shingles", "one", "two", "bands", "odd"])
+            ], names=["doc_id", "text_hash", "n_shingles", "one", "two", "bands", "odd"])
 
 
 def _walk(ids: np.ndarray, label: np.ndarray, value: np.ndarray, firsts: np.ndarray,
@@ -192,8 +193,10 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, n: int, percent: i
     sizes = classes.select("id", "n_shingles").join(areas, "id").groupBy("root").agg(
         F.ceil(F.sum("n_shingles") / F.lit(block)).alias("n_blocks"))
     members = areas.join(sizes, "root").select("id", F.col("root").alias("area"), "n_blocks")
-    rows = classes.select("id", "n_shingles", "odd").join(members, "id").join(
-        docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    # Equal rows lend their text once; they lie in one partition after the join.
+    rows = classes.select("id", "doc_id", "text_hash", "n_shingles", "odd").join(members, "id").join(
+        texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).drop("doc_id", "text_hash")
     rows = stored(rows, "near-candidates")
     blocked = rows.withColumn("label", F.col("id")).withColumn(
         "block", F.pmod(F.xxhash64("id", F.lit(0)), "n_blocks"))
@@ -233,6 +236,34 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, n: int, percent: i
     return links.union(stored(_links(met, ["pair"], n, percent), "near-links"))
 
 
+def judged(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with text_hash (xxhash64 of the text), which tells rows of one doc_id apart."""
+    if percent < 80:
+        raise ValueError("bands and sketches are laid out for 80 % or more")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    features = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        lambda batches: _features(batches, shingle),
+        "doc_id long, text_hash long, n_shingles long, one long, two long, bands array<long>, odd binary"), "near-features")
+    filled = features.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    sets = filled.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    here = F.struct("doc_id", "text_hash")
+    # The numbers are fixed as soon as the classes are written.
+    classes = stored(filled.join(sets, ["one", "two"]).filter(here == F.col("head")).drop("head").dropDuplicates(
+        ["one", "two"]).withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    links = near_duplicate_links(classes, docs, shingle, percent, block)
+    roots = components(links)
+    rooted = stored(classes.select("id", "doc_id", "one", "two").join(roots, "id", "left").select(
+        "doc_id", "one", "two", F.coalesce("root", "id").alias("root")), "near-roots")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = rooted.join(least, "root").select("one", "two", "component_id")
+    found = filled.select("doc_id", "text_hash", "n_shingles", "one", "two").join(of_class, ["one", "two"]).select(
+        "doc_id", "text_hash", "n_shingles", "component_id")
+    alone = features.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
+        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -243,22 +274,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     linked.  A row without doc_id is linked with nothing: component_id null, kept true.  Rows that repeat
     a doc_id are judged each by its own text.  Other columns are ignored; no rows give no rows.
     """
-    if percent < 80:
-        raise ValueError("bands and sketches are laid out for 80 % or more")
-    features = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        lambda batches: _features(batches, shingle),
-        "doc_id long, n_shingles long, one long, two long, bands array<long>, odd binary"), "near-features")
-    filled = features.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = filled.groupBy("one", "two").agg(F.min("doc_id").alias("id"))
-    member = stored(filled.select("doc_id", "n_shingles", "one", "two").join(sets, ["one", "two"]), "near-members")
-    classes = stored(filled.join(sets, (filled["doc_id"] == sets["id"]) & (filled["one"] == sets["one"]) & (
-        filled["two"] == sets["two"]), "left_semi").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]).select(
-        "id", "n_shingles", "bands", "odd"), "near-classes")
-    links = near_duplicate_links(classes, docs, shingle, percent, block)
-    roots = components(links)
-    found = member.join(roots, "id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
-    alone = features.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return judged(docs, shingle, percent, block).drop("text_hash")

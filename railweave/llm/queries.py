@@ -91,8 +91,9 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = read(spark, sf_dir, "documents").select(
-        "doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
-    return mixing.mix_sources(stored(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "source", mixing.count_words(F.col("text")).alias("size"),
+        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+    return mixing.mix_sources(stored(docs, "sizes"), tie=("digest",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query

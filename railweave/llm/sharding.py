@@ -40,12 +40,12 @@ def interleave(docs: DataFrame, shards: int, seed: int = SEED, tie: tuple[Column
     """``docs`` with shard (0 to ``shards`` - 1) and slot (gapless from 0 in a shard).
 
     Counts of shards are at most one apart.  Null sources are one source of their own, null doc_ids one id;
-    rows of equal hash are ordered by doc_id and ``tie``.  Existing columns shard and slot stay, and the new
+    the hash order covers doc_id and ``tie``, which tells rows of one id apart and spreads them.  Existing columns shard and slot stay, and the new
     ones then get underscores in front.  No rows give no rows.
     """
     ranges = ranges_for(docs)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("src"), F.struct(
-        shuffle_key(seed, F.col("doc_id")).alias("key"), "doc_id", *tie).alias("order"))
+        shuffle_key(seed, F.col("doc_id"), *tie).alias("key"), "doc_id", *tie).alias("order"))
     ranked = number_rows(keyed, ["src"], [F.col("order")], hash_range(F.col("order.key"), ranges), "rank", "size")
     parted = ranked.withColumn("part", (2 * F.col("rank") - 1) / (2 * F.col("size"))).drop("order", "size")
     placed = number_rows(parted, [], [F.col("part"), F.col("src").asc_nulls_first(), F.col("rank")],

@@ -9,7 +9,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLES: dict[str, str] = {}
 
 ORACLES["op10_mix"] = rf"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('23|' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight,
         row_number() OVER (ORDER BY source NULLS LAST) AS rank, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
@@ -20,7 +20,7 @@ g AS (SELECT *, cap::HUGEINT * rest <= weight * (total - before)::HUGEINT AS fil
 h AS (SELECT *, max(CASE WHEN NOT filled THEN (total - before)::DOUBLE / rest::DOUBLE END) OVER () AS level FROM g),
 t AS (SELECT source, source_size, CASE WHEN filled THEN cap::DOUBLE ELSE weight * level END AS target FROM h),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('23|' || coalesce(doc_id::VARCHAR, '') || '|' || digest), doc_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) - d.size AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
 SELECT doc_id, size, source_size, target,
@@ -89,7 +89,7 @@ c AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGI
         lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::BIGINT, 2))::BIGINT)),
         lambda a, b: xor(a // 256, crc.steps[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
 r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY source) AS n FROM c
-      WINDOW w AS (PARTITION BY source ORDER BY md5('11|' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, text_crc32, size)),
+      WINDOW w AS (PARTITION BY source ORDER BY md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || text_crc32 || '|' || size), doc_id NULLS FIRST, text_crc32, size)),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * n), source NULLS FIRST, rank) - 1 AS pos, count(*) OVER () AS total FROM r),
 q AS (SELECT *, pos * 8 // total AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos - (shard * total + 7) // 8)::BIGINT AS slot,

@@ -8,7 +8,7 @@ repeated anchor are then extended to their full 20 words, and those sequences ar
 
 Hot passages: every task settles repetitions inside its own slice of texts first.  It sends one
 representative of a sequence on; the other occurrences are known repetitions and travel under keys of
-their own, so no task meets all copies of a passage.
+their own, so the task that compares a passage meets one row per slice that holds it, not one per copy.
 """
 
 from __future__ import annotations

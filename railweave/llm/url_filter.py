@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm.frames import fresh
-
 BUCKETS = 4096
 STEPS = 400
 PENALTY = 0.05
@@ -168,7 +166,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame, url: st
     """
     weights = train(labelled)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = _with_parts(pages.select(*kept), url, "host", "path")
+    # The page travels as one struct, so that no column of it meets a name used here.
+    parts = _with_parts(pages.select(F.struct(*kept).alias("page"), F.col(url).alias("url")), "url", "host", "path")
     labels = F.split("host", "\\.")
     suffixes = parts.select("host").distinct().select(
         "host", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("i"), labels.alias("labels")).select(
@@ -177,9 +176,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame, url: st
         (F.length("host") + F.length("path")).alias("length"), F.concat("host", "path").alias("rule"),
         F.col("verdict"), F.col("path").alias("path")).alias("fit"))
     fits = suffixes.join(named, "suffix").groupBy("host").agg(F.collect_set("fit").alias("fits"))
-    best = fresh(parts, "_best")
-    judged = parts.join(fits.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").withColumn(
-        best, F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"]))))
+    best = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"])))
+    judged = parts.join(fits, "host", "left").withColumn("best", best)
     method = F.when(blocked_odds(F.col("host"), F.col("path"), weights) > 0, "block").otherwise("allow")
-    return judged.select(*kept, "host", "path", F.col(best)["rule"].alias("rule"),
-                         F.coalesce(F.col(best)["verdict"], method).alias("verdict"))
+    return judged.select("page.*", "host", "path", F.col("best.rule").alias("rule"),
+                         F.coalesce(F.col("best.verdict"), method).alias("verdict"))
