@@ -374,16 +374,16 @@ def intent_label(spark, sf):
         "doc_id", labels.label_intent(F.col("text")).alias("r")).select("doc_id", "r.label", "r.conf")
 
 
-@query("short_gate", f"""WITH t AS (SELECT conv_id, turn, substr(text, 1, turn) AS s FROM conversations),
-  u AS (SELECT conv_id * 1000 + turn AS doc_id, s AS text FROM t), {S.intent_ctes('u')}
+@query("short_gate", f"""WITH u AS (SELECT 'c' || conv_id || '-' || turn AS doc_id, text FROM conversations
+  UNION ALL SELECT 'd' || doc_id, text FROM documents), {S.intent_ctes('u')}
 SELECT doc_id, CASE WHEN length(trim(text, E' \\n')) < 3 THEN 'UNKNOWN' ELSE label END AS label,
   CASE WHEN length(trim(text, E' \\n')) < 3 THEN 0.5 ELSE conf END::DOUBLE AS conf FROM u JOIN intent_pred USING (doc_id)""")
 def short_gate(spark, sf):
-    """Texts under three characters get the default label."""
-    c = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
-        F.substring(F.col("text"), F.lit(1), F.col("turn").cast("int")).alias("text"))
-    return c.select("doc_id", label_gated(F.col("text"), labels.label_intent).alias("r")).select(
+    """All turns and documents; texts under three characters get the default label."""
+    turns = table(spark, sf, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("doc_id"), "text")
+    both = turns.unionAll(table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text"))
+    return both.select("doc_id", label_gated(F.col("text"), labels.label_intent).alias("r")).select(
         "doc_id", "r.label", "r.conf")
 
 
