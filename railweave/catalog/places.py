@@ -266,16 +266,117 @@ def link_topk(spark, sf):
     return found.select("query", "station", F.round("score", 6).alias("score"), "rank")
 
 
-@query("link_best")
+# --- weighted links: supplier stations, which grow with the tables ------------------------
+
+def supplier_stations(spark, sf):
+    """One station per supplier: the name and type of a part, and a number."""
+    p = table(spark, sf, "part")
+    s = table(spark, sf, "supplier").join(p, F.col("p_partkey") == F.col("s_suppkey"))
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("s_suppkey").cast("string"))
+    return s.select(F.col("s_suppkey").cast("string").alias("uic"), name.alias("name"),
+                    normalize_name(name).alias("name_norm"), F.lit("").alias("commune"), F.col("s_suppkey").alias("ord"))
+
+
+def garbled(spark, sf):
+    """Every supplier station without one letter, its middle word with the number, and its last two words in turn."""
+    st = supplier_stations(spark, sf)
+    at = (1 + F.col("ord") % F.length("name")).cast("int")
+    parts = F.split("name", " ")
+    cut = F.concat(F.substring("name", F.lit(1), at - 1), F.substring("name", at + 1, F.length("name")))
+    short = F.concat_ws(" ", F.element_at(parts, -2), F.element_at(parts, -1))
+    turned = F.concat_ws(" ", F.element_at(parts, 2), F.element_at(parts, 1))
+    return st.select(F.explode(F.array(cut, short, turned)).alias("query")).distinct()
+
+
+GARBLED = """nm AS (SELECT p_name || ' ' || lower(p_type) || ' ' || s_suppkey AS name, s_suppkey AS ord FROM supplier JOIN part ON p_partkey = s_suppkey),
+mq AS (SELECT DISTINCT trim(regexp_replace(unnest([left(name, (ord % length(name))::INT) || substr(name, (ord % length(name))::INT + 2),
+    string_split(name, ' ')[-2] || ' ' || string_split(name, ' ')[-1], string_split(name, ' ')[2] || ' ' || string_split(name, ' ')[1]]), ' +', ' ', 'g')) AS q FROM nm)"""
+
+# Every string pair whose longest common subsequence some ratio needs, counted once; bit-parallel as above.
+WEIGHTED = f"""WITH RECURSIVE {GARBLED},
+forms AS (SELECT s, array_to_string(list_sort(w), ' ') AS sorted, list_sort(list_distinct(w)) AS t
+  FROM (SELECT s, string_split(s, ' ') AS w FROM (SELECT q AS s FROM mq UNION SELECT name FROM nm))),
+pair AS (SELECT q, name, ord, a.sorted AS sa, b.sorted AS sb, greatest(length(q), length(name)) / least(length(q), length(name)) AS stretch,
+    array_to_string(list_filter(a.t, lambda x: list_contains(b.t, x)), ' ') AS mutual,
+    array_to_string(list_filter(a.t, lambda x: NOT list_contains(b.t, x)), ' ') AS oa,
+    array_to_string(list_filter(b.t, lambda x: NOT list_contains(a.t, x)), ' ') AS ob
+  FROM mq, nm, forms a, forms b WHERE a.s = q AND b.s = name),
+joint AS (SELECT *, trim(mutual || ' ' || oa) AS ja, trim(mutual || ' ' || ob) AS jb FROM pair),
+whole AS (SELECT q AS x, name AS y FROM joint UNION SELECT sa, sb FROM joint WHERE stretch < 1.5
+  UNION SELECT ja, jb FROM joint WHERE stretch < 1.5 UNION SELECT mutual, ja FROM joint WHERE stretch < 1.5 AND mutual <> ''
+  UNION SELECT mutual, jb FROM joint WHERE stretch < 1.5 AND mutual <> ''),
+part_of AS (SELECT DISTINCT x, y FROM (SELECT q AS x, name AS y FROM joint WHERE stretch >= 1.5 UNION SELECT sa, sb FROM joint WHERE stretch >= 1.5 AND mutual = ''
+  UNION SELECT oa, ob FROM joint WHERE stretch >= 1.5 AND mutual = '')),
+sides AS (SELECT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS short, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS long FROM part_of),
+turns AS (SELECT x, y, short, long FROM sides UNION SELECT x, y, long, short FROM sides WHERE length(x) = length(y)),
+slid AS (SELECT DISTINCT x, y, short, long[greatest(i, 0) + 1:i + length(short)] AS w
+  FROM (SELECT *, unnest(range(1 - length(short), length(long))) AS i FROM turns)),
+asked AS (SELECT x, y FROM whole UNION SELECT short, w FROM slid),
+step AS (SELECT x, y, 0 AS i, ((1::BIGINT << length(x)) - 1)::BIGINT AS v FROM asked
+  UNION ALL
+  SELECT x, y, i + 1, (((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(x)) - 1))::BIGINT FROM (
+    SELECT *, coalesce(list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN x[k] = y[i + 1] THEN 1::BIGINT << (k - 1)::INT ELSE 0 END)), 0)::BIGINT AS m
+    FROM step WHERE i < length(y))),
+ratio AS (SELECT x, y, 200::DOUBLE * (length(x) - bit_count(v)) / greatest(length(x) + length(y), 1) AS r FROM step WHERE i = length(y)),
+partial AS (SELECT s.x, s.y, max(r.r) AS r FROM slid s JOIN ratio r ON r.x = s.short AND r.y = s.w GROUP BY ALL),
+scored AS (SELECT j.q, j.name, j.ord, CASE WHEN stretch < 1.5 THEN greatest(p.r, 0.95::DOUBLE *
+      CASE WHEN mutual <> '' AND (oa = '' OR ob = '') THEN 100 ELSE greatest(s.r, t.r, coalesce(u.r, 0), coalesce(v.r, 0)) END)
+    ELSE greatest(p.r, e.r * scale, CASE WHEN mutual <> '' THEN 100::DOUBLE ELSE greatest(f.r, g.r) END * 0.95::DOUBLE * scale) END AS score
+  FROM (SELECT *, CASE WHEN stretch <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS scale FROM joint) j
+  JOIN ratio p ON p.x = j.q AND p.y = j.name LEFT JOIN ratio s ON s.x = sa AND s.y = sb LEFT JOIN ratio t ON t.x = ja AND t.y = jb
+  LEFT JOIN ratio u ON u.x = mutual AND u.y = ja LEFT JOIN ratio v ON v.x = mutual AND v.y = jb
+  LEFT JOIN partial e ON e.x = j.q AND e.y = j.name LEFT JOIN partial f ON f.x = sa AND f.y = sb LEFT JOIN partial g ON g.x = oa AND g.y = ob),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ord, name) AS r FROM scored)"""
+
+LINKED = """head AS (SELECT string_split(name, ' ')[1] AS w, min_by(name, ord) AS name, min(ord) AS ord FROM nm GROUP BY 1),
+word_pair AS (SELECT q, w, name, ord FROM mq, head),
+word_step AS (SELECT q, w, 0 AS i, ((1::BIGINT << length(q)) - 1)::BIGINT AS v FROM word_pair
+  UNION ALL
+  SELECT q, w, i + 1, (((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(q)) - 1))::BIGINT FROM (
+    SELECT *, coalesce(list_sum(list_transform(range(1, length(q) + 1), lambda k: CASE WHEN q[k] = w[i + 1] THEN 1::BIGINT << (k - 1)::INT ELSE 0 END)), 0)::BIGINT AS m
+    FROM word_step WHERE i < length(w))),
+word_score AS (SELECT q, w, 200::DOUBLE * (length(q) - bit_count(v)) / (length(q) + length(w)) AS r FROM word_step WHERE i = length(w)),
+word_rank AS (SELECT q, name, least(100, word_score.r + 20) AS score, row_number() OVER (PARTITION BY q ORDER BY word_score.r DESC, ord, w) AS place
+  FROM word_score JOIN word_pair USING (q, w) QUALIFY place <= 10),
+both_ways AS (SELECT q, name, max(score) AS score, min(place) AS place FROM (SELECT * FROM word_rank UNION ALL SELECT q, name, score, r + 10 FROM ranked WHERE r <= 10) GROUP BY ALL),
+best AS (SELECT q, name, score FROM both_ways QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, place) = 1),
+starts AS (SELECT q, min_by(name, ord) AS name FROM mq JOIN nm ON starts_with(name, q || ' ') GROUP BY q),
+linked AS (SELECT q, name, 95::DOUBLE AS score FROM starts UNION ALL SELECT q, name, score FROM best WHERE score >= 80 AND q NOT IN (SELECT q FROM starts))"""
+
+
+@query("link_best", f"{WEIGHTED}, {LINKED} SELECT q AS query, name, round(score, 6) AS score FROM linked")
 def link_best(spark, sf):
-    """Prefix link, else the weighted scorers (checked against brute force in tests)."""
-    return L.link_names(misspelt(spark, sf), part_stations(spark, sf))
+    """Prefix link, else the best of first words and weighted scores, by candidates."""
+    asked = garbled(spark, sf).select(F.trim(F.regexp_replace("query", " +", " ")).alias("query")).distinct()
+    return L.link_names(asked, supplier_stations(spark, sf)).select("query", "name", F.round("score", 6).alias("score"))
 
 
-@query("link_details_weighted")
+@query("link_details_weighted", f"{WEIGHTED} SELECT q AS query, name AS station, round(score, 6) AS score, r AS rank FROM ranked WHERE r <= 5")
 def link_details_weighted(spark, sf):
-    """D13 with the weighted ratio (checked against brute force in tests)."""
-    return L.link_details(misspelt(spark, sf), part_stations(spark, sf), 5)
+    """D13 with the weighted ratio: five candidates per query."""
+    asked = garbled(spark, sf).select(F.trim(F.regexp_replace("query", " +", " ")).alias("query")).distinct()
+    found = L.link_details(asked, supplier_stations(spark, sf), 5)
+    return found.select("query", "station", F.round("score", 6).alias("score"), "rank")
+
+
+@query("link_slots_fuzzy", f"""{WEIGHTED}, {LINKED},
+rows AS (SELECT s_suppkey AS id, n.name AS full_name FROM supplier JOIN nm n ON n.ord = s_suppkey),
+slot AS (SELECT id, trim(regexp_replace(left(full_name, (id % length(full_name))::INT) || substr(full_name, (id % length(full_name))::INT + 2), ' +', ' ', 'g')) AS d,
+  string_split(full_name, ' ')[-2] || ' ' || string_split(full_name, ' ')[-1] AS t, string_split(full_name, ' ')[2] || ' ' || string_split(full_name, ' ')[1] AS v FROM rows)
+SELECT id, coalesce(a.name, d) AS departure, coalesce(b.name, t) AS destination, coalesce(c.name, v) || '|zzqqzz' AS stops
+FROM slot LEFT JOIN linked a ON a.q = d LEFT JOIN linked b ON b.q = t LEFT JOIN linked c ON c.q = v""")
+def link_slots_fuzzy(spark, sf):
+    """D15 by the fuzzy scores: three slots, one link over their distinct values, raw text where nothing links."""
+    st = supplier_stations(spark, sf)
+    at = (1 + F.col("ord") % F.length("name")).cast("int")
+    parts = F.split("name", " ")
+    cut = F.concat(F.substring("name", F.lit(1), at - 1), F.substring("name", at + 1, F.length("name")))
+    rows = st.select(
+        F.col("ord").alias("id"), F.trim(F.regexp_replace(cut, " +", " ")).alias("departure"),
+        F.concat_ws(" ", F.element_at(parts, -2), F.element_at(parts, -1)).alias("destination"),
+        F.array(F.concat_ws(" ", F.element_at(parts, 2), F.element_at(parts, 1)), F.lit("zzqqzz")).alias("intermediate"))
+    return L.link_slots(rows, st, "id").select(
+        "id", "departure", "destination", F.array_join("intermediate", "|").alias("stops"))
 
 
 @query("prefix_link", """WITH nm AS (SELECT p_name AS name, min(p_partkey) AS ord FROM part GROUP BY 1),

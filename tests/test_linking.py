@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from railweave.operators import candidates as C
 from railweave.operators import gazetteer as G
 from railweave.operators import linking as L
 
@@ -111,6 +112,50 @@ def test_details_are_the_true_top(spark):
         assert got[query] == pytest.approx(want)
 
 
+def strings(rng, n, letters, most):
+    """Short strings over few letters, with repeated tokens, single letters and long ones."""
+    made = set()
+    while len(made) < n:
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 1, 2, 3, 5, 7]))) for _ in range(rng.randint(1, most))]
+        made.add(" ".join(words))
+    return sorted(made)
+
+
+@pytest.mark.parametrize("letters,most", [("ab", 3), ("abcd", 5), ("abcdefgh", 2), ("aé", 8)])
+def test_candidates_lose_no_pair_above_the_threshold(spark, letters, most):
+    rng = random.Random(letters)
+    names, queries = strings(rng, 70, letters, most), strings(rng, 70, letters, most)
+    n = spark.createDataFrame([(v, f"{i * 7 % 70:04d}") for i, v in enumerate(names)], "name string, ord string")
+    q = spark.createDataFrame([(v,) for v in queries], "q string")
+    order = {v: f"{i * 7 % 70:04d}" for i, v in enumerate(names)}
+    for scorer, weighted, threshold in ((L.ratio, False, 200 / 3), (L.ratio, False, 90.0), (L.weighted_ratio, True, 80.0)):
+        got = {}
+        for r in C.best_above(q, n, "name", 3, scorer, weighted, threshold).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append((r.name, r.score))
+        for query in queries:
+            best = sorted(((-scorer(query, v), order[v], v) for v in names))[:3]
+            want = [(v, -s) for s, _, v in best if -s >= threshold]
+            assert got.get(query, []) == want, (query, scorer.__name__)
+
+
+def test_random_links_equal_blocks(spark):
+    rng = random.Random(9)
+    names = sorted({" ".join(rng.choice(["saint", "gare", "ville", "mont", "le", "rivage", "valbon", "est"]) + rng.choice(["", "", "s", "x"])
+                             for _ in range(rng.randint(1, 4))) for _ in range(90)})
+    queries = sorted({v.replace(rng.choice("aeilnst"), "", 1) for v in names} | {"zz", "saint", "estx gares", "q"})
+    st = spark.createDataFrame([(str(i), v, v, "", f"{i:04d}") for i, v in enumerate(names)],
+                               "uic string, name string, name_norm string, commune string, ord string")
+    df = spark.createDataFrame([(v,) for v in queries], "query string")
+    fast = {r.query: (r.name, r.score) for r in L.link_names(df, st).collect()}
+    global NAMES
+    before, NAMES = NAMES, names
+    try:
+        want = {v: best_link(v) for v in queries}
+    finally:
+        NAMES = before
+    assert fast == {v: x for v, x in want.items() if x}
+
+
 def test_known_scores():
     assert L.weighted_ratio("lyon", "lyon") == 100
     assert L.ratio("lion", "lyon") == 75
