@@ -42,5 +42,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load() -> None:
     """Import all query modules."""
     from railweave.catalog import (  # noqa: F401
-        evaluation, logs, network, places, texts, training,
+        evaluation, files, logs, network, places, texts, training,
     )

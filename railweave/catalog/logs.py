@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from railweave.catalog import query, table
+from railweave.catalog.network import ARCS, ASK, relaxed
 from railweave.functions.labels import route_line
 from railweave.operators import logs as G
 from railweave.operators.scale import Stage
@@ -32,6 +33,12 @@ def request_totals(spark, sf):
     return G.request_totals(roles.request_log(spark, sf))
 
 
+@query("recent_totals", f"WITH {LOG} SELECT count(*) AS total_requests, round(avg(duration_s) * 1000, 2) AS avg_latency_ms FROM (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 100)")
+def recent_totals(spark, sf):
+    """E24 with F9: over the last hundred requests (the listing's own limit)."""
+    return G.request_totals(roles.request_log(spark, sf), 100)
+
+
 @query("carbon_totals", f"""WITH {LOG} SELECT round(sum(coalesce(carbon_kg, 0)), 6) AS total_emissions_kg, round(sum(coalesce(carbon_kg, 0)) * 50, 4) AS total_energy_kwh,
   count(*) AS total_requests, 'FRA' AS country FROM log""")
 def carbon_totals(spark, sf):
@@ -69,28 +76,51 @@ def request_windows(spark, sf):
     return _windows(G.requests_by_window(roles.request_log(spark, sf)))
 
 
-def _finish(stream, mode, name):
-    """Run a stream over what is there and return what it wrote."""
-    spark, stage = stream.sparkSession, Stage(stream.sparkSession, name)
+def _finish(stream, name):
+    """Run a stream over what is there, in append mode, and return the windows that it closed."""
+    stage = Stage(stream.sparkSession, name)
     out = f"{stage.root}/out"
 
     def write(batch, number):
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).foreachBatch(write).option(
+    run = stream.writeStream.outputMode("append").foreachBatch(write).option(
         "checkpointLocation", f"{stage.root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if mode == "complete" else (
-        spark.read.parquet(out).select(*stream.columns))
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
-@query("stream_request_windows", WINDOWS)
-def stream_request_windows(spark, sf):
-    """Requests appended as JSON lines, tailed as a stream, counted per window."""
+def _late_log(spark, sf):
+    """The log as JSON lines in three arrivals: the first half, one request, and the second half together
+    with every tenth request of the first, which by then is late."""
     folder = Stage(spark, "log").root
-    writers.append_log(roles.request_log(spark, sf).drop("event_id", "ts", "user_id"), folder)
-    rates = jobs.request_rates(jobs.tail_log(spark, folder))
-    return _windows(_finish(rates, "complete", "windows"))
+    rows = roles.request_log(spark, sf)
+    half = F.col("event_id") < rows.agg(F.max("event_id")).first()[0] // 2
+    tenth = F.col("event_id") % 10 == 0
+    first = rows.filter(half & ~tenth)
+    last = first.agg(F.max("event_id")).first()[0]
+    for part in (first.filter(F.col("event_id") != last), first.filter(F.col("event_id") == last),
+                 rows.filter(~half | tenth)):
+        writers.append_log(part.coalesce(1).drop("event_id", "ts", "user_id"), folder)
+    return jobs.tail_log(spark, folder, 1)
+
+
+#: The same arrivals: the watermark after the first one, in microseconds, and the rows it lets pass.
+LATE = f"""{LOG}, half AS (SELECT max(event_id) // 2 AS h FROM log), last AS (SELECT max(event_id) AS l FROM log, half WHERE event_id < h AND event_id % 10 <> 0),
+mark AS (SELECT max(epoch_us(ts)) - 600000000 AS early, (SELECT max(epoch_us(ts)) - 600000000 FROM log) AS final FROM log, half, last WHERE event_id < h AND event_id % 10 <> 0 AND event_id <> l),
+tail AS (SELECT log.*, epoch_us(ts) AS t, event_id < h AND event_id % 10 = 0 AS late, early, final FROM log, half, mark)"""
+
+
+def on_time(width: int) -> str:
+    """Rows whose window of ``width`` microseconds is still open when they arrive."""
+    return f"SELECT * FROM tail WHERE NOT late OR (t // {width} + 1) * {width} > early"
+
+
+@query("stream_request_windows", f"""WITH {LATE} SELECT t // 300000000 * 300 AS window_start, model_name, count(*) AS requests, round(avg(duration_s) * 1000, 4) AS avg_latency_ms
+FROM ({on_time(300000000)}) WHERE (t // 300000000 + 1) * 300000000 <= final GROUP BY 1, 2""")
+def stream_request_windows(spark, sf):
+    """Requests tailed as a stream, counted per window; late ones are dropped, closed windows leave the state."""
+    return _windows(_finish(jobs.request_rates(_late_log(spark, sf)), "windows"))
 
 
 @query("log_roundtrip", f"""WITH {LOG} SELECT input_text, model_name, duration_s, carbon_kg FROM (SELECT *, 'request ' || event_id AS input_text FROM log)""")
@@ -118,12 +148,22 @@ def counter_rates(spark, sf):
     return _rates(G.counter_rate(roles.request_log(spark, sf), "model_name", "cpu_percent_avg"))
 
 
-@query("stream_counter_rates", RATES)
+@query("stream_counter_rates", f"""WITH {LATE}, slid AS (SELECT model_name, cpu_percent_avg AS v, t, s * 15 AS w, final FROM (SELECT *, unnest(range(t // 15000000 - 19, t // 15000000 + 1)) AS s FROM ({on_time(15000000)})))
+SELECT w AS window_start, model_name, round(CASE WHEN max(t) > min(t) THEN (max(v) - min(v)) / ((max(t) - min(t)) / 1e6::DOUBLE) END, 6) AS rate FROM slid WHERE (w + 300) * 1000000 <= final GROUP BY 1, 2""")
 def stream_counter_rates(spark, sf):
-    """L3 as a stream."""
-    folder = Stage(spark, "log").root
-    writers.append_log(roles.request_log(spark, sf).drop("event_id", "ts", "user_id"), folder)
-    return _rates(_finish(jobs.counter_rates(jobs.tail_log(spark, folder), "model_name", "cpu_percent_avg"), "complete", "rates"))
+    """L3 as a stream: panes, then sliding windows of panes, each closed by the watermark."""
+    return _rates(_finish(jobs.counter_rates(_late_log(spark, sf), "model_name", "cpu_percent_avg"), "rates"))
+
+
+RAW_RATES = RATES.replace("SELECT w AS window_start, model_name, round(CASE", ", r AS (SELECT w AS window_start, model_name, (CASE").replace("END, 6) AS rate", "END) AS rate")
+
+
+@query("idle_shares", f"{RAW_RATES}) SELECT window_start, round(1 - avg(rate), 6) AS busy_share FROM r GROUP BY 1")
+def idle_shares(spark, sf):
+    """L4, second gauge: one minus the mean idle rate of all series."""
+    rates = G.counter_rate(roles.request_log(spark, sf), "model_name", "cpu_percent_avg")
+    return G.idle_share(rates.withColumn("window_start", F.unix_seconds("window_start"))).select(
+        "window_start", F.round("busy_share", 6).alias("busy_share"))
 
 
 @query("counter_growth", f"""WITH {LOG}, s AS (SELECT event_id, model_name, cpu_percent_avg AS v, lag(cpu_percent_avg) OVER w AS b, ts FROM log WINDOW w AS (PARTITION BY model_name ORDER BY ts, event_id))
@@ -144,23 +184,40 @@ def used_shares(spark, sf):
     return u.select(F.unix_seconds("window_start").alias("window_start"), F.round("used_share", 6).alias("used_share"))
 
 
-@query("stream_used_shares", SHARES)
+@query("stream_used_shares", f"""WITH {LATE} SELECT t // 300000000 * 300 AS window_start, round(avg(1 - cpu_percent_avg / nullif(ram_peak_mb, 0)), 6) AS used_share
+FROM ({on_time(300000000)}) WHERE (t // 300000000 + 1) * 300000000 <= final GROUP BY 1""")
 def stream_used_shares(spark, sf):
-    """L4 as a stream."""
-    folder = Stage(spark, "log").root
-    writers.append_log(roles.request_log(spark, sf).drop("event_id", "ts", "user_id"), folder)
-    u = _finish(jobs.used_shares(jobs.tail_log(spark, folder), "ram_peak_mb", "cpu_percent_avg"), "complete", "shares")
+    """L4 as a stream: closed windows only, late samples dropped."""
+    u = _finish(jobs.used_shares(_late_log(spark, sf), "ram_peak_mb", "cpu_percent_avg"), "shares")
     return u.select(F.unix_seconds("window_start").alias("window_start"), F.round("used_share", 6).alias("used_share"))
 
 
-@query("stream_resolve", """SELECT conv_id || '-' || turn || ', INVALID' AS line FROM conversations WHERE role = 'user'""")
+@query("stream_resolve", f"""WITH {ARCS}, {ASK}, {relaxed('SELECT origin FROM ask')},
+found AS (SELECT k, list_transform(path, lambda u: 'Supplier#' || lpad(u, 9, '0')) AS names, path FROM ask JOIN reach r ON r.origin = ask.origin AND r.node = goal)
+SELECT 's' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN ', INVALID' WHEN 1 THEN ', INVALID' ELSE ', ' END AS head,
+  CASE WHEN s_suppkey % 4 >= 2 THEN names[1] || ' > ' || names[-1] END AS ends
+FROM supplier JOIN found ON k = s_suppkey UNION ALL
+SELECT conv_id || '-' || turn || ', INVALID', NULL FROM conversations WHERE role = 'user'""")
 def stream_resolve(spark, sf):
-    """L2: user turns arrive as lines; each batch is resolved and routed (none names a station)."""
+    """L2: lines arrive in three files and are resolved and routed batch by batch.
+
+    A quarter of the suppliers' lines asks for an unknown station, a quarter makes no trip, the others get
+    their route; the turns of the conversations name no station.
+    """
     stage = Stage(spark, "lines")
-    turns = table(spark, sf, "conversations").filter("role = 'user'")
-    name = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    one_line = F.regexp_replace("text", r"\s+", " ")
-    turns.select(F.concat(name, F.lit(", "), one_line).alias("value")).write.text(f"{stage.root}/in")
+    turns = table(spark, sf, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.regexp_replace("text", r"\s+", " ").alias("text"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    to = s.select(F.col("k").alias("to"), F.col("name").alias("other"))
+    kind = F.col("k") % 4
+    asked = s.join(s.agg(F.count(F.lit(1)).alias("n"))).withColumn("to", F.pmod(F.col("k") + 1, F.col("n"))).join(to, "to").select(
+        F.concat(F.lit("s"), F.col("k")).alias("id"),
+        F.when(kind == 1, "Bonjour").otherwise(F.concat(
+            F.lit("Je veux aller de "), "name", F.lit(" a "), F.when(kind == 0, "Zzyzzx").otherwise(F.col("other")))).alias("text"))
+    lines = turns.unionAll(asked).select("id", F.concat("id", F.lit(", "), "text").alias("value"))
+    for part in range(3):
+        lines.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == part).select("value").coalesce(1).write.mode("append").text(f"{stage.root}/in")
     nodes = stage.save(roles.network_nodes(spark, sf))
     arcs = stage.save(roles.network_arcs(spark, sf))
 
@@ -168,8 +225,12 @@ def stream_resolve(spark, sf):
         done = resolve_routes(batch, "id", nodes, arcs)
         return done.select(route_line(F.col("id"), F.col("path"), F.col("error")).alias("value"))
 
-    lines = jobs.incoming_lines(spark, f"{stage.root}/in")
-    run = jobs.resolve_stream(lines, resolve, f"{stage.root}/out", os.path.basename(stage.root)).trigger(
+    incoming = jobs.incoming_lines(spark, f"{stage.root}/in")
+    run = jobs.resolve_stream(incoming, resolve, f"{stage.root}/out", os.path.basename(stage.root)).trigger(
         availableNow=True).start()
     run.awaitTermination()
-    return spark.read.text(f"{stage.root}/out").select(F.col("value").alias("line"))
+    out = spark.read.text(f"{stage.root}/out").select(F.split("value", ", ").alias("v"))
+    routed = F.element_at("v", 2) != "INVALID"
+    return out.select(
+        F.concat(F.element_at("v", 1), F.when(routed, ", ").otherwise(", INVALID")).alias("head"),
+        F.when(routed, F.concat_ws(" > ", F.element_at("v", 2), F.element_at("v", -1))).alias("ends"))

@@ -20,8 +20,12 @@ def without_payload(log: DataFrame) -> DataFrame:
     return log.drop("output", "extra")
 
 
-def request_totals(log: DataFrame) -> DataFrame:
-    """Requests and mean latency in milliseconds; a missing duration counts as 0."""
+def request_totals(log: DataFrame, last: int | None = None) -> DataFrame:
+    """Requests and mean latency in milliseconds, of the whole log or of its ``last`` rows.
+
+    A missing duration counts as 0.
+    """
+    log = log if last is None else latest(log, last)
     mean = F.avg(F.coalesce("duration_s", F.lit(0.0))) * 1000
     return log.agg(F.count(F.lit(1)).alias("total_requests"),
                    F.round(F.coalesce(mean, F.lit(0.0)), 2).alias("avg_latency_ms"))
@@ -56,14 +60,27 @@ def requests_by_window(log: DataFrame, model: str = "model_name", width: str = "
 
 def counter_rate(samples: DataFrame, series: str, value: str, width: str = "5 minutes",
                  slide: str = "15 seconds", ts: str = "ts") -> DataFrame:
-    """L3: (max - min) / elapsed seconds per sliding window and series."""
-    elapsed = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6
-    return samples.groupBy(F.window(ts, width, slide).alias("w"), series).agg(
-        (F.max(value) - F.min(value)).alias("grown"), elapsed.alias("seconds")).select(
+    """L3: (max - min) / elapsed seconds per sliding window and series.
+
+    Samples are first reduced to panes as wide as the slide, of which a window is made up exactly if its
+    width is a multiple of the slide; so a sample is aggregated once and only panes are repeated.
+    Streams keep both steps, as chained windows in append mode.
+    """
+    panes = samples.groupBy(F.window(ts, slide).alias("pane"), series).agg(
+        F.min(value).alias("low"), F.max(value).alias("high"),
+        F.min(F.unix_micros(ts)).alias("begin"), F.max(F.unix_micros(ts)).alias("end"))
+    seconds = (F.max("end") - F.min("begin")) / 1e6
+    return panes.groupBy(F.window("pane", width, slide).alias("w"), series).agg(
+        (F.max("high") - F.min("low")).alias("grown"), seconds.alias("seconds")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), series,
         F.when(F.col("seconds") > 0, F.col("grown") / F.col("seconds")).alias("rate"))
 
 
+def idle_share(rates: DataFrame) -> DataFrame:
+    """L4: 1 - the mean rate of all series per window; ``rates`` comes from ``counter_rate``."""
+    return rates.groupBy("window_start").agg((1 - F.avg("rate")).alias("busy_share"))
+
+
 def without_resets(samples: DataFrame, series: str, value: str, order: str = "ts",
                    tie: str = "event_id", ranges: int | None = None) -> DataFrame:
     """L3 in batch: a counter that restarts keeps growing.

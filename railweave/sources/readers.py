@@ -1,15 +1,20 @@
 """Scans (A1-A10, A18, A19).
 
-Every reader has a fixed schema, so no pass over the data infers one.  Array-shaped
-JSON files cannot be split; ingest them once (``ingest``) and read the Parquet copy.
+Every reader has a fixed schema, so no pass over the data infers one.  A JSON array on a path that
+all executors open is read in byte ranges (``json_array``); elsewhere such a file is one task, so ingest
+it once (``ingest``) and read the Parquet copy.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.functions.labels import map_intent_label, map_language_label
+from railweave.sources.json_array import read_array
 
 PASSENGER_STATIONS = (
     "nom string, libellecourt string, segment_drg string, "
@@ -36,6 +41,8 @@ REPORT = "eval_type string, dataset string, samples bigint"
 
 def _array_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON array file with ``ord``, its row order."""
+    if os.path.isfile(re.sub("^file:(//)?", "", path)):
+        return read_array(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
         "ord", F.monotonically_increasing_id())
 
@@ -130,7 +137,7 @@ def report_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     The id is the file name and the date its second '_' part.
     """
     raw = spark.read.schema(REPORT).option("multiLine", True).json(folder)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.json$", 1)
     listed = raw.withColumn("id", name).filter(F.col("id") != "")
     return listed.select(
         "id", F.coalesce(F.get(F.split("id", "_"), F.lit(1)), F.lit("unknown")).alias("date"),
@@ -142,5 +149,6 @@ def report_catalogue(spark: SparkSession, folder: str) -> DataFrame:
 def report(spark: SparkSession, folder: str, report_id: str) -> DataFrame:
     """The whole document of one report; no row when there is none."""
     whole = spark.read.option("wholetext", True).text(folder)
-    return whole.withColumn("id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-                            ).filter(F.col("id") == report_id).select("id", F.col("value").alias("body"))
+    # the file name is known before the file is read, so other reports are not opened
+    return whole.filter(F.col("_metadata.file_name") == f"{report_id}.json").select(
+        F.lit(report_id).alias("id"), F.col("value").alias("body"))

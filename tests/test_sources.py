@@ -2,8 +2,12 @@
 
 import json
 
+import random
+
+import pytest
+
 from railweave.operators import network as N
-from railweave.sources import readers, writers
+from railweave.sources import json_array, readers, writers
 
 
 def dump(path, value):
@@ -77,3 +81,18 @@ def test_route_lines(spark, tmp_path):
     done = spark.createDataFrame([("1", "A", "B", None)], "sentence_id string, departure string, destination string, code string")
     assert tuple(writers.extraction_lines(done).first()) == ("1", "1,A,B")
     assert writers.extraction_lines(done).columns == ["sentenceID", "result"]
+
+
+@pytest.mark.parametrize("split", [1, 3, 17, 400, 1 << 20])
+def test_array_in_byte_ranges(spark, tmp_path, split):
+    rng = random.Random(split)
+    rows = [{"a": i, "t": "".join(rng.choice('x"\\{}[],é😀\n ') for _ in range(rng.randint(0, 12))), "n": {"q": [1, {"z": "}"}]}}
+            for i in range(60 if split > 1 else 4)]
+    for indent in (None, 2):
+        path = tmp_path / f"a{indent}.json"
+        path.write_text(json.dumps(rows, ensure_ascii=False, indent=indent), encoding="utf-8")
+        got = json_array.read_array(spark, str(path), "a int, t string, n struct<q: array<string>>", split).orderBy("ord").collect()
+        assert [(r.a, r.t) for r in got] == [(r["a"], r["t"]) for r in rows]
+    for text in ("[]", "", " [ ] "):
+        (tmp_path / "e.json").write_text(text)
+        assert json_array.read_array(spark, str(tmp_path / "e.json"), "a int", split).count() == 0
