@@ -83,16 +83,33 @@ def test_route_lines(spark, tmp_path):
     assert writers.extraction_lines(done).columns == ["sentenceID", "result"]
 
 
-@pytest.mark.parametrize("split", [1, 3, 17, 400, 1 << 20])
+def tricky_rows(rng, n):
+    return [{"a": i, "t": "".join(rng.choice('x"\\{}[],é😀\n ') for _ in range(rng.randint(0, 12))), "n": {"q": [1, {"z": "}"}]}}
+            for i in range(n)]
+
+
+def test_byte_ranges_lose_no_object(tmp_path):
+    rng, path = random.Random(3), tmp_path / "a.json"
+    for _ in range(200):
+        rows = tricky_rows(rng, rng.randint(0, 9))
+        path.write_text(json.dumps(rows, ensure_ascii=rng.random() < .5, indent=rng.choice([None, 2])), encoding="utf-8")
+        borders = json_array.cuts(str(path), rng.choice([1, 2, 3, 7, 20, 64, 1000]))
+        starts, depth, inside = [], 0, False
+        for low, high in zip(borders, borders[1:]):
+            starts.append(((low, high), depth, inside))
+            change, inside = json_array.scan(path.read_bytes()[low:high], inside)
+            depth += change
+        reader = json_array.ArrayReader(None, {"path": str(path), "split_bytes": "5", "states": json.dumps(starts)})
+        assert [json.loads(v) for p in reader.partitions() for v, _ in reader.read(p)] == rows
+
+
+@pytest.mark.parametrize("split", [300, 1 << 20])
 def test_array_in_byte_ranges(spark, tmp_path, split):
-    rng = random.Random(split)
-    rows = [{"a": i, "t": "".join(rng.choice('x"\\{}[],é😀\n ') for _ in range(rng.randint(0, 12))), "n": {"q": [1, {"z": "}"}]}}
-            for i in range(60 if split > 1 else 4)]
-    for indent in (None, 2):
-        path = tmp_path / f"a{indent}.json"
-        path.write_text(json.dumps(rows, ensure_ascii=False, indent=indent), encoding="utf-8")
-        got = json_array.read_array(spark, str(path), "a int, t string, n struct<q: array<string>>", split).orderBy("ord").collect()
-        assert [(r.a, r.t) for r in got] == [(r["a"], r["t"]) for r in rows]
-    for text in ("[]", "", " [ ] "):
+    rows = tricky_rows(random.Random(split), 40)
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
+    got = json_array.read_array(spark, str(path), "a int, t string, n struct<q: array<string>>", split).orderBy("ord").collect()
+    assert [(r.a, r.t) for r in got] == [(r["a"], r["t"]) for r in rows]
+    for text in ("[]", ""):
         (tmp_path / "e.json").write_text(text)
         assert json_array.read_array(spark, str(tmp_path / "e.json"), "a int", split).count() == 0
