@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from railweave.catalog import query, table
+from railweave.catalog import noise_sql, query, table
 from railweave.catalog import sql as S
 from railweave.functions import bio
 from railweave.functions import noise_tables as N
@@ -261,9 +261,16 @@ def split_build(spark, sf):
     return built.select("id", "intent", F.size("tokens").alias("n_tokens"), "split")
 
 
-@query("split_augmented")
+# the labels of the sentences that K11 touched, by the same CTEs as those of the plain ones
+TOUCHED = f"""{SAMPLES}, {noise_sql.LIGHT}, touched AS (SELECT s.* REPLACE (CASE WHEN {S.uniform(42, S.quoted('augment'), 's.sentence_id')} < 0.3
+  THEN l.sentence ELSE s.sentence END AS sentence) FROM samples s JOIN light l USING (sentence_id)), {BIO[len(SAMPLES) + 2:].replace('FROM samples', 'FROM touched')}"""
+
+
+@query("split_augmented", f"""WITH {TOUCHED}
+SELECT 'GEN_TRIP_train_' || sentence_id AS id, intent, array_to_string(labels, ' ') AS labels FROM bio WHERE intent = 'TRIP'
+UNION ALL SELECT 'GEN_NOT_TRIP_train_' || doc_id, 'NOT_TRIP', array_to_string(list_transform({token_sql('text')}, lambda w: 'O'), ' ') FROM documents""")
 def split_augmented(spark, sf):
-    """K5 with K11 on about 30 % of the rows (invariants are tested)."""
+    """K5 with K11 on about 30 % of the rows."""
     orders = roles.order_rows(spark, sf)
     rows = K.planned_rows(orders.withColumn("sentence_id", K.sequence_id(F.col("row_no") + 1)),
                           K.quota_plan(spark, orders.count())).filter("intent = 'TRIP'")
@@ -291,9 +298,13 @@ def noise_plan(spark, sf):
     return noise.noise_plan(roles.samples(spark, sf)).select("sentence_id", "intensity", F.array_join("steps", " ").alias("steps"))
 
 
-@query("noise_augment")
+NOISY, NOISY_LAST = noise_sql.noisy_ctes(INTENSITY)
+
+
+@query("noise_augment", f"""WITH {SAMPLES}, {NOISY}
+SELECT 'STT' || substr(sentence_id, 5) AS sentence_id, t AS sentence, intent, language, departure, destination, intermediate FROM {NOISY_LAST}""")
 def noise_augment(spark, sf):
-    """K10, K10a-d: the noisy sentences (invariants are tested)."""
+    """K10, K10a-d: the noisy sentences."""
     return noise.augment(roles.samples(spark, sf))
 
 
@@ -314,9 +325,9 @@ def noise_untouched(spark, sf):
         F.when(simple & (F.col("intent") != "TRIP"), F.col("sentence")).alias("sentence"))
 
 
-@query("light_augment")
+@query("light_augment", f"WITH {SAMPLES}, {noise_sql.LIGHT} SELECT {ALL} FROM light")
 def light_augment(spark, sf):
-    """K11 (invariants are tested)."""
+    """K11."""
     return noise.augment_lightly(roles.samples(spark, sf), "sentence_id")
 
 

@@ -11,8 +11,8 @@ from tests.oracle import compare, connect
 SAMPLE = ["name_normalize", "language_label", "intent_label", "slots_extract", "sentence_code", "artifact_clean",
           "language_confusion", "metric_averages", "slot_metrics", "duplicate_texts", "gazetteer_merge",
           "resolve_names", "link_topk", "edges_build", "shortest_paths", "pareto_skyline", "stratified_split",
-          "bio_labels", "noise_plan", "row_rules", "shingle_leaks", "request_windows", "stream_request_windows",
-          "counter_growth", "place_mentions"]
+          "bio_labels", "noise_plan", "noise_augment", "light_augment", "row_rules", "shingle_leaks",
+          "request_windows", "stream_request_windows", "counter_growth", "place_mentions", "ngram_language"]
 
 
 def test_every_twin_has_a_query():
