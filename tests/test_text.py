@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railweave.functions import labels, slots, text
+from railweave.operators import ngram_language
 from railweave.plans.components import Registry, UnknownComponent, score_in_batches
 from railweave.plans.resolve import resolve
 
@@ -139,3 +140,20 @@ def test_model_hook_loads_once_per_task_and_chunks(spark):
 
     got = {r.id: (r.label, r.conf) for r in score_in_batches(df, load, chunk=4).collect()}
     assert got[0] == ("SHORT", 0.4) and got[9] == ("LONG", 0.2) and len(got) == 10
+
+
+def test_ngram_language_in_place_equals_join(spark):
+    train = spark.createDataFrame([("fr", "le train pour la gare de Lyon"), ("en", "the train to the station"),
+                                   ("en", "where is the next one"), (None, "ignored")], "lang string, text string")
+    docs = spark.createDataFrame([(1, "la gare"), (2, "the  NEXT station"), (3, ""), (4, None), (5, "zzqq"),
+                                  (6, "le train \U0001f682 the"), (7, "a"), (8, "la gare")], "id int, text string")
+    profiles = ngram_language.train_profiles(train)
+    near = {r.id: r.scores for r in ngram_language.score_languages(docs, profiles, "id").collect()}
+    far = {r.id: r.scores for r in ngram_language.score_languages(docs, profiles, "id", max_cells=0).collect()}
+    assert set(near) == set(far) == set(range(1, 9))
+    assert near[1] == near[8] and all(near[i] is None and far[i] is None for i in (3, 4, 5, 7))
+    for i in (1, 2, 6):
+        assert [s.lang for s in near[i]] == [s.lang for s in far[i]] == ["en", "fr"]
+        assert [s.score for s in near[i]] == pytest.approx([s.score for s in far[i]])
+    found = {r.id: r.label for r in ngram_language.detect_languages(docs, profiles, "id").collect()}
+    assert (found[1], found[2], found[3], found[5]) == ("FRENCH", "ENGLISH", "UNKNOWN", "UNKNOWN")
