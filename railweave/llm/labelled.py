@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railweave.llm.frames import stored
+
+PREFIX = 4  # hex digits of the drawing order that rows are counted by: 65,536 counts for each label
+
 
 def crc_rest(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; null without an id."""
@@ -30,9 +34,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 
     The sample is drawn on ids alone (smallest md5 first).  Its size is bounded, so it is broadcast and
     texts stay where they are.  Ids with several labels take the largest; null labels and ids are left out.
+
+    Ids are counted by label and leading digits of the order first, and only those digits are ranked that
+    the sample reaches into: a task sees the sample and one 65,536th of a label's ids, however many there are.
     """
-    here = _known(labels, label).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").filter(allowed)
-    order = Window.partitionBy("y").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    taken = here.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_value)
+    known = _known(labels, label).filter(allowed)
+    drawn = F.md5(F.col("doc_id").cast("string"))
+    here = stored(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", "y", drawn.alias("drawn"), F.substring(drawn, 1, PREFIX).alias("head")), "labelled")
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("head")) - F.col("n")
+    reached = here.groupBy("y", "head").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).filter(
+        F.col("before") < per_value)
+    order = Window.partitionBy("y").orderBy("drawn", "doc_id")
+    taken = here.join(reached, ["y", "head"], "left_semi").withColumn(
+        "_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_value)
     picked = F.broadcast(taken.select(F.col("doc_id").alias("_id"), "y"))
     return docs.join(picked, F.col("doc_id") == F.col("_id")).select(*columns, "y")
