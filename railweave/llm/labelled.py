@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railweave.llm.frames import stored
 
-PREFIX = 4  # hex digits of the drawing order that rows are counted by: 65,536 counts for each label
+PREFIX = 3  # hex digits of the drawing order that rows are counted by: 4,096 counts for each label
 
 
 def crc_rest(doc_id: Column, modulus: int) -> Column:
@@ -36,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     texts stay where they are.  Ids with several labels take the largest; null labels and ids are left out.
 
     Ids are counted by label and leading digits of the order first, and only those digits are ranked that
-    the sample reaches into: a task sees the sample and one 65,536th of a label's ids, however many there are.
+    the sample reaches into: a task sees the sample and one 4,096th of a label's ids, however many there are.
     """
     known = _known(labels, label).filter(allowed)
     drawn = F.md5(F.col("doc_id").cast("string"))
