@@ -12,7 +12,7 @@ from railweave.operators import linking as L
 from railweave.operators.scale import Stage, padded
 from railweave.plans import roles
 from railweave.plans.resolve import search_linker
-from railweave.sources.writers import city_mapping, station_list
+from railweave.sources.writers import city_blocks, city_mapping, station_list
 
 
 def line_source(spark, sf):
@@ -97,6 +97,14 @@ def city_indexes(spark, sf):
         "key", F.size("uics").alias("n"), F.array_join("uics", " ").alias("uics"))
 
 
+@query("city_postings", f"""WITH {STATIONS}, p AS (SELECT key, uic, src, k, row_number() OVER w AS rn, count(*) OVER (PARTITION BY key) AS n
+  FROM city WINDOW w AS (PARTITION BY key ORDER BY src, k))
+SELECT key, (rn - 1) // 100 AS block, n, string_agg(uic, ' ' ORDER BY rn) AS uics FROM p GROUP BY 1, 2, 3""")
+def city_postings(spark, sf):
+    """The city index in blocks of a hundred keys."""
+    return G.postings(G.city_index(stations(spark, sf)), 100).withColumn("uics", F.array_join("uics", " "))
+
+
 @query("alias_bridge", f"WITH {STATIONS} SELECT a.key, s.uic FROM alias a JOIN stn s USING (name_norm)")
 def alias_bridge(spark, sf):
     """D5."""
@@ -141,7 +149,7 @@ def search_cascade(spark, sf):
 def search_first(spark, sf):
     """First result of each query."""
     st = stations(spark, sf)
-    hits = G.search_cascade(asked(spark, sf), st, nation_aliases(spark, sf))
+    hits = G.search_cascade(asked(spark, sf), st, nation_aliases(spark, sf), limit=1)
     return G.first_hit(hits, st).select("query", "uic", "name")
 
 
@@ -177,6 +185,17 @@ def city_export(spark, sf):
         "city", F.array_join("stations", "|").alias("stations"))
 
 
+@query("city_export_blocks", f"""WITH {CITY}, p AS (SELECT q, name, row_number() OVER w AS rn, count(*) OVER (PARTITION BY q) AS n
+  FROM ch JOIN stn USING (uic) WINDOW w AS (PARTITION BY q ORDER BY tier, ch.src, ch.k))
+SELECT q AS city, (rn - 1) // 100 AS block, n, string_agg(name, '|' ORDER BY rn) AS stations FROM p GROUP BY 1, 2, 3""")
+def city_export_blocks(spark, sf):
+    """City -> station names in blocks of a hundred."""
+    st = stations(spark, sf)
+    found = G.stations_of_city(st.filter("commune <> ''").select(F.col("commune").alias("query")), st)
+    return city_blocks(found.join(st.select("uic", "name"), "uic"), 100).withColumn(
+        "stations", F.array_join("stations", "|"))
+
+
 @query("station_export", f"""WITH {STATIONS}, al AS (SELECT name_norm, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases FROM alias GROUP BY 1)
 SELECT name, name_norm AS normalized, lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INT, 'S') AS short_code, commune, coalesce(aliases, '') AS aliases
 FROM stn LEFT JOIN al USING (name_norm) WHERE is_passenger""")

@@ -593,3 +593,21 @@ def embedding_nearest(spark, sf):
     queries = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"))
     return nearest_places(queries, places, k=1, threshold=-1.0).select(
         "q", "place", F.round("score", 6).alias("score"))
+
+
+@query("embedding_matches", """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+c AS (SELECT place, list(avg_v ORDER BY i) AS v FROM (
+  SELECT place, i, avg(x) AS avg_v FROM (SELECT label || ' ' || (vec_id % 100) AS place, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT vec_id AS q, place, list_dot_product(u.v, c.v) / (sqrt(list_dot_product(u.v, u.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM u, c)
+SELECT q, place, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, place) AS rank
+FROM s WHERE score >= 0.85 QUALIFY rank <= 3""")
+def embedding_matches(spark, sf):
+    """The three nearest of many pooled places from a cosine of 0.85 on."""
+    from railweave.operators.mentions import mean_pool
+
+    e = table(spark, sf, "embeddings")
+    place = F.concat_ws(" ", F.col("label").cast("string"), F.pmod("vec_id", F.lit(100)).cast("string"))
+    places = mean_pool(e.withColumn("place", place), "place", "embedding", 64).withColumnRenamed("embedding", "vec")
+    queries = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"))
+    return nearest_places(queries, places, k=3, threshold=0.85).withColumn("score", F.round("score", 6))

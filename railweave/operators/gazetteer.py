@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railweave.functions import wordlists as W
 from railweave.functions.text import extract_city_name, normalize_name, split_keys
-from railweave.operators.scale import padded, top_per_group
+from railweave.operators.scale import in_ranges, number_rows, padded, top_per_group
+
+#: Keys in one block of a posting list.
+POSTING_BLOCK = 1000
 
 
 def passenger_stations(source: DataFrame) -> DataFrame:
@@ -147,6 +152,28 @@ def inverted(index: DataFrame) -> DataFrame:
     return index.groupBy("key").agg(F.transform(pairs, lambda p: p["uic"]).alias("uics"))
 
 
+def numbered_blocks(rows: DataFrame, key: str, order: Sequence[str], block: int) -> DataFrame:
+    """``rows`` with ``block``, ``rn`` (from 1) and ``n`` of their key, in the order of ``order``.
+
+    Rows are numbered inside ranges of equal row counts, so a key with a third of all rows is many tasks.
+    """
+    first, *rest = order
+    ranged = in_ranges(rows, key, first, rest)
+    numbered = number_rows(ranged, [key], [F.col(c) for c in order], F.col("_range")).drop("_range")
+    return numbered.withColumn("block", F.floor((F.col("rn") - 1) / block).cast("long"))
+
+
+def postings(index: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
+    """E20 in blocks: (key, block, n, uics); a city of any size is no single array.
+
+    ``uics`` are the keys number ``block * size`` and following in file order, ``n`` is their number in
+    the whole city.
+    """
+    numbered = numbered_blocks(index.distinct(), "key", ["ord", "uic"], block)
+    part = F.sort_array(F.collect_list(F.struct("rn", "uic")))
+    return numbered.groupBy("key", "block", "n").agg(F.transform(part, lambda p: p["uic"]).alias("uics"))
+
+
 def first_word_index(stations: DataFrame) -> DataFrame:
     """First word -> number of names and the first name."""
     names = distinct_names(stations)
@@ -211,31 +238,68 @@ def containment_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
         "needle", "hay")
 
 
+def first_holders(needles: DataFrame, names: DataFrame, order: Sequence[str], limit: int,
+                  tiers: bool = True) -> DataFrame:
+    """The first ``limit`` rows of ``names(hay, ...)`` that hold each needle, exactly.
+
+    Adds ``needle``, ``tier`` (0: the name is the needle, 1: starts with it, 2: holds it) and ``rank``;
+    rows come by tier (unless ``tiers`` is off), then by the columns ``order``.  Every piece of a name that has the length of some
+    needle gets a list of its first names, cut before the shuffle, and a needle meets only its own list:
+    a piece that all names share costs ``limit`` rows per input task and no pair beyond the list is
+    built.  Blank needles and names match nothing.
+    """
+    asked = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    sizes = asked.agg(F.collect_set(F.length("needle")).alias("_sizes"))
+    long = F.length("hay")
+    pieces = names.join(sizes).select(*names.columns, F.explode(
+        F.filter("_sizes", lambda n: n <= long)).alias("_size"))
+    pieces = pieces.select(*pieces.columns, F.explode(F.sequence(F.lit(1), long - F.col("_size") + 1)).alias("_at"))
+    pieces = pieces.withColumn("needle", F.substring("hay", F.col("_at"), F.col("_size"))).filter(
+        # a piece that occurs twice in a name counts at its first place
+        F.call_function("locate", F.col("needle"), F.col("hay")) == F.col("_at"))
+    tier = F.when(F.col("_size") == long, 0).when(F.col("_at") == 1, 1).otherwise(2)
+    lists = top_per_group(pieces.withColumn("tier", tier).drop("_size", "_at"), ["needle"],
+                          [F.col(c) for c in (["tier"] if tiers else []) + list(order)], limit)
+    return lists.join(asked, "needle", "left_semi")
+
+
 def search_cascade(queries: DataFrame, stations: DataFrame, aliases: DataFrame,
-                   exact: bool = False) -> DataFrame:
-    """(query, uic, tier, rank): exact, then alias, then city; substring only if none hit."""
+                   exact: bool = False, limit: int | None = None) -> DataFrame:
+    """(query, uic, tier, ord): exact, then alias, then city; substring only if none hit.
+
+    With ``limit``, the first hits of each query only: every index is cut to its first rows per key
+    before it meets a query.
+    """
     keyed = queries.select("query").distinct().withColumn("key", normalize_name(F.col("query")))
-    tiers = [name_index(stations)]
+    names = name_index(stations)
+    tiers = [names]
     if not exact:
-        tiers += [alias_index(stations, aliases), city_index(stations)]
+        tiers += [alias_index(stations, aliases).distinct(), city_index(stations)]
+    if limit is not None:
+        tiers = [top_per_group(t, ["key"], [F.col("ord"), F.col("uic")], limit).drop("rank") for t in tiers]
     hits = None
     for tier, index in enumerate(tiers):
         found = keyed.join(index, "key").select("query", "uic", F.lit(tier).alias("tier"), "ord")
         hits = found if hits is None else hits.unionByName(found)
     if not exact:
-        rest = keyed.join(hits.select("query").distinct(), "query", "left_anti")
-        names = name_index(stations)
-        ask, have = rest.select("key").distinct(), names.select("key").distinct()
-        pairs = containment_pairs(ask.select(F.col("key").alias("needle")),
-                                  have.select(F.col("key").alias("hay"))).select(
-            F.col("needle").alias("ask"), F.col("hay").alias("key"))
-        pairs = pairs.unionByName(containment_pairs(
-            have.select(F.col("key").alias("needle")), ask.select(F.col("key").alias("hay"))
-        ).select(F.col("hay").alias("ask"), F.col("needle").alias("key"))).distinct()
-        partial = rest.withColumnRenamed("key", "ask").join(pairs, "ask").join(names, "key").select(
-            "query", "uic", F.lit(3).alias("tier"), "ord")
-        hits = hits.unionByName(partial)
-    return hits.groupBy("query", "uic").agg(F.min("tier").alias("tier"), F.min("ord").alias("ord"))
+        rest = keyed.join(hits.select("query").distinct(), "query", "left_anti").withColumnRenamed("key", "ask")
+        ask, have = rest.select("ask").distinct(), names.select("key").distinct()
+        held = containment_pairs(have.select(F.col("key").alias("needle")), ask.select(F.col("ask").alias("hay"))
+                                 ).select(F.col("hay").alias("ask"), F.col("needle").alias("key"))
+        needles = ask.select(F.col("ask").alias("needle"))
+        if limit is None:
+            holding = containment_pairs(needles, have.select(F.col("key").alias("hay"))).select(
+                F.col("needle").alias("ask"), F.col("hay").alias("key"))
+            found = held.unionByName(holding).distinct().join(names, "key").select("ask", "uic", "ord")
+        else:
+            # here a name that starts with the query is no better than one that holds it
+            holding = first_holders(needles, names.withColumnRenamed("key", "hay"), ["ord", "uic"], limit, tiers=False)
+            found = held.join(tiers[0], "key").select("ask", "uic", "ord").unionByName(
+                holding.select(F.col("needle").alias("ask"), "uic", "ord"))
+        hits = hits.unionByName(rest.join(found, "ask").select("query", "uic", F.lit(3).alias("tier"), "ord"))
+    hits = hits.groupBy("query", "uic").agg(F.min("tier").alias("tier"), F.min("ord").alias("ord"))
+    return hits if limit is None else top_per_group(
+        hits, ["query"], [F.col("tier"), F.col("ord"), F.col("uic")], limit).drop("rank")
 
 
 def first_hit(hits: DataFrame, stations: DataFrame) -> DataFrame:
@@ -254,28 +318,22 @@ def stations_of_city(cities: DataFrame, stations: DataFrame) -> DataFrame:
                                                               F.min("ord").alias("ord"))
 
 
-def name_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """D9/D10 candidates: nodes(uic, name, ord) whose name equals, starts with or holds the query."""
+def name_matches(queries: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` nodes(uic, name, ord) whose name equals, starts with or holds the query."""
     asked = queries.select("query").distinct().withColumn("needle", F.trim(F.lower("query")))
     named = nodes.select("uic", "name", "ord", F.lower("name").alias("hay"))
-    pairs = containment_pairs(asked.select("needle").distinct(), named.select("hay").distinct())
-    tier = F.when(F.col("hay") == F.col("needle"), 0).when(
-        F.startswith("hay", "needle"), 1).otherwise(2)
-    return asked.join(pairs, "needle").join(named, "hay").select(
-        "query", "uic", "name", "ord", tier.alias("tier"))
+    return asked.join(first_holders(asked, named, ["ord", "uic"], limit), "needle").select(
+        "query", "uic", "name", "ord", "tier", "rank")
 
 
 def resolve_names(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query, uic): exact, else prefix, else contains; first in file order."""
-    return name_matches(queries, nodes).groupBy("query").agg(
-        F.min(F.struct("tier", "ord", "uic")).alias("b")
-    ).select("query", F.col("b.uic").alias("uic"), F.col("b.tier").alias("tier"))
+    """(query, uic, tier): exact, else prefix, else contains; first in file order."""
+    return name_matches(queries, nodes, 1).select("query", "uic", "tier")
 
 
 def typeahead(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """The first ``limit`` matches of each query, tier by tier."""
-    return top_per_group(name_matches(queries, nodes), ["query"],
-                         [F.col("tier"), F.col("ord"), F.col("uic")], limit)
+    return name_matches(queries, nodes, limit)
 
 
 def union_of_names(*sources: DataFrame) -> DataFrame:

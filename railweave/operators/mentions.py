@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from railweave.functions import wordlists as W
 from railweave.functions.text import bind
 from railweave.operators.linking import scored_frame
-from railweave.operators.scale import top_per_group
+from railweave.operators.scale import Stage, top_per_group
 
 _EDGE = "[" + "".join(re.escape(c) for c in W.MENTION_BOUNDARY_CHARS) + "]+"
 
@@ -102,20 +103,105 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)
 
 
-def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1,
-                   threshold: float = 0.85, slices: int = 8, block_rows: int = 20_000) -> DataFrame:
+#: Angles are widened by this much, more than rounding can move one.
+SLACK = 1e-6
+#: Cell of zero vectors, which stand at a right angle to everything.
+ZERO_CELL = -1
+
+
+def _unit_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(key, vec) as unit vectors; a vector that is missing or holds a missing value or NaN is left out."""
+    broken = F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    return df.select(key, normalised(F.col("vec")).alias("vec")).filter(F.col("vec").isNotNull() & ~broken)
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+
+def place_cells(places: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """places(place, vec) with the number of their nearest pivot (``cell``) and the angle to it."""
+    def assign(parts):
+        for part in filter(len, parts):
+            vectors = np.stack(part["vec"].to_numpy())
+            zero = ~vectors.any(axis=1)
+            cell, angle = np.full(len(part), ZERO_CELL), np.full(len(part), np.pi / 2)
+            if len(pivots):
+                far = _angles(vectors, pivots)
+                cell = np.where(zero, ZERO_CELL, far.argmin(axis=1))
+                angle = np.where(zero, np.pi / 2, far.min(axis=1))
+            yield part.assign(cell=cell.astype("int32"), angle=angle)
+
+    place_type = places.schema["place"].dataType.simpleString()
+    return places.mapInPandas(assign, f"place {place_type}, vec array<double>, cell int, angle double")
+
+
+def reached_cells(queries: DataFrame, pivots: np.ndarray, rings: dict[int, tuple[float, float]],
+                  k: int, threshold: float) -> DataFrame:
+    """queries(q, vec) with the cells that may hold one of their ``k`` best places.
+
+    A place within angle ``a`` of the query lies within ``a`` of the query's own angle to the pivot, so a
+    cell whose ring (least and greatest angle of its places) lies further off is ruled out.  ``a`` comes
+    from the threshold and, as pivots are places too, from the k-th nearest pivot.
+    """
+    widest = float(np.arccos(np.clip(threshold, -1.0, 1.0))) if threshold <= 1 else -1.0
+    cells = [c for c in sorted(rings) if c != ZERO_CELL]
+    low, high = (np.array([rings[c][i] for c in cells], dtype=float) for i in (0, 1))
+
+    def reach(parts):
+        for part in filter(len, parts):
+            vectors = np.stack(part["vec"].to_numpy())
+            zero = ~vectors.any(axis=1)
+            far = _angles(vectors, pivots) if len(pivots) else np.zeros((len(part), 0))
+            near = np.sort(far, axis=1)[:, k - 1] if far.shape[1] >= k else np.full(len(part), np.pi)
+            # a zero vector scores 0 everywhere, so nothing but the threshold rules a cell out
+            bound = np.where(zero, widest, np.minimum(near, widest)) + SLACK
+            own = far[:, cells] if cells else far
+            touched = (own - bound[:, None] <= high) & (own + bound[:, None] >= low) & (bound > 0)[:, None]
+            right_angle = bound >= np.pi / 2
+            touched[zero] = right_angle[zero, None]
+            found = [[cells[i] for i in np.flatnonzero(row)] for row in touched]
+            if ZERO_CELL in rings:
+                found = [f + [ZERO_CELL] if r else f for f, r in zip(found, right_angle)]
+            yield part.assign(cells=found)
+
+    q_type = queries.schema["q"].dataType.simpleString()
+    return queries.mapInPandas(reach, f"q {q_type}, vec array<double>, cells array<int>")
+
+
+def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1, threshold: float = 0.85,
+                   pivots: int = 256, block_rows: int = 20_000) -> DataFrame:
     """queries(q, vec) x places(place, vec) -> (q, place, score, rank), exact.
 
-    As in linking, a task meets one slice of the queries and one block of the places;
-    one matrix product scores the cell and only the best k per query leave it.
+    About sqrt(places) of the places, ``pivots`` at most, serve as pivots; every place belongs to its
+    nearest one, and a query meets only the cells that ``reached_cells`` cannot rule out.  A cell and the
+    queries that reach it are dealt into blocks of about ``block_rows``, so no task grows with the data;
+    one matrix product scores a pair of blocks and only the best k per query leave it.  Scores are
+    rounded to 12 digits, and equal ones go by place.  Vectors that are missing or hold a missing value
+    or NaN match nothing.
     """
-    blocks = max(1, -(-places.count() // block_rows))
-    left = queries.select("q", normalised(F.col("vec")).alias("vec"),
-                          F.pmod(F.xxhash64("q"), F.lit(slices)).alias("s"),
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("b"))
-    right = places.select("place", normalised(F.col("vec")).alias("vec"),
-                          F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("bigint").alias("b"),
-                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).alias("s"))
+    stage = Stage(queries.sparkSession, "nearest")
+    units = stage.save(_unit_vectors(places, "place"))
+    wanted = min(pivots, math.isqrt(units.count()) + 1)
+    chosen = units.filter(F.exists("vec", lambda x: x != 0)).orderBy(
+        F.xxhash64("place", "vec"), "place").limit(wanted).collect()
+    pivot_rows = np.array([row.vec for row in chosen], dtype=float)
+    known = stage.save(place_cells(units, pivot_rows))
+    # one row per pivot
+    sizes = {r.cell: r for r in known.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()}
+    rings = {cell: (r.low, r.high) for cell, r in sizes.items()}
+    asked = stage.save(reached_cells(_unit_vectors(queries, "q"), pivot_rows, rings, k, threshold))
+    visits = asked.select("q", "vec", F.explode("cells").alias("cell"))
+    counts = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}
+    dealt = queries.sparkSession.createDataFrame(
+        [(cell, -(-r.n // block_rows), -(-counts[cell] // block_rows)) for cell, r in sizes.items() if cell in counts],
+        "cell int, blocks long, slices long")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = visits.join(dealt, "cell").select(
+        "q", "vec", "cell", F.pmod(F.xxhash64("q"), "slices").alias("s"), numbers("blocks").alias("b"))
+    right = known.join(dealt, "cell").select(
+        "place", "vec", "cell", F.pmod(F.xxhash64("place", "vec"), "blocks").alias("b"), numbers("slices").alias("s"))
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
@@ -128,14 +214,14 @@ def nearest_places(queries: DataFrame, places: DataFrame, k: int = 1,
         step = max(1, 20_000_000 // len(names))
         for begin in range(0, len(asked), step):
             part = asked.iloc[begin:begin + step]
-            scores = np.stack(part["vec"].to_numpy()) @ matrix
+            scores = np.round(np.stack(part["vec"].to_numpy()) @ matrix, 12)
             for q, row in zip(part["q"], scores):
                 best = np.argsort(-row, kind="stable")[:k]
                 out += [(q, names[i], float(row[i])) for i in best if row[i] >= threshold]
         return scored_frame(out, "place")
 
-    types = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    place_type = {f.name: f.dataType.simpleString() for f in places.schema.fields}["place"]
-    best = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(
-        score, f"q {types['q']}, place {place_type}, score double")
+    types = {"q": queries.schema["q"].dataType.simpleString(), "place": places.schema["place"].dataType.simpleString()}
+    key = ("cell", "s", "b")
+    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+        score, f"q {types['q']}, place {types['place']}, score double")
     return top_per_group(best, ["q"], [F.desc("score"), F.col("place")], k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railweave.functions.labels import extraction_line, route_line
-from railweave.operators.gazetteer import only_passenger
+from railweave.operators.gazetteer import POSTING_BLOCK, numbered_blocks, only_passenger
 from railweave.operators.training import SAMPLE_COLUMNS
 
 
@@ -61,6 +61,14 @@ def city_mapping(city_stations: DataFrame) -> DataFrame:
         F.transform(ordered, lambda s: s["name"]).alias("stations"))
 
 
+def city_blocks(city_stations: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
+    """A16 in blocks: (city, block, n, stations) for cities of any size; blocks in turn give ``city_mapping``."""
+    rows = city_stations.select(F.col("query").alias("city"), "tier", "ord", "name", "uic")
+    part = F.sort_array(F.collect_list(F.struct("rn", "name")))
+    return numbered_blocks(rows, "city", ["tier", "ord", "name", "uic"], block).groupBy("city", "block", "n").agg(
+        F.transform(part, lambda s: s["name"]).alias("stations"))
+
+
 def report_document(sections: dict[str, DataFrame], eval_type: str = "all",
                     dataset: str = "test_set", samples: int = 0) -> DataFrame:
     """One row with the nested report; each section is model -> metrics.

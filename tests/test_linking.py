@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from railweave.operators import candidates as C
 from railweave.operators import gazetteer as G
 from railweave.operators import linking as L
+from railweave.operators.mentions import nearest_places, reached_cells
 
 NAMES = ["paris gare de lyon", "paris est", "lyon part dieu", "lyon perrache", "marseille st charles",
          "bordeaux st jean", "nantes", "rennes", "lille flandres", "lille europe", "strasbourg",
@@ -210,3 +212,83 @@ def test_gazetteer_fixture(spark):
     hits = G.search_cascade(spark.createDataFrame([("cdg",), ("Lyon",), ("marseille",), ("de gaulle",)], "query string"), st, aliases)
     first = {r.query: r.name for r in G.first_hit(hits, st).collect()}
     assert first["cdg"].startswith("Aeroport") and first["Lyon"] == "Lyon Part Dieu" and first["de gaulle"].startswith("Aeroport")
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_first_holders_equal_brute_force(spark, limit):
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    needles = sorted({make(rng.randint(1, 5)) for _ in range(30)} | {"", "zz"})
+    names = [(make(rng.randint(0, 8)), i) for i in range(50)] + [("abab", 90), ("abab", 91), (None, 92)]
+    got = {(r.needle, r.rank): (r.tier, r.ord) for r in G.first_holders(
+        spark.createDataFrame([(n,) for n in needles] + [(None,), ("ab",)], "needle string"),
+        spark.createDataFrame(names, "hay string, ord int"), ["ord"], limit).collect()}
+    want = {}
+    for needle in filter(None, {*needles, "ab"}):
+        tier = lambda h: 0 if h == needle else 1 if h.startswith(needle) else 2  # noqa: E731,B023
+        found = sorted((tier(h), o) for h, o in names if h is not None and needle in h)
+        want.update({(needle, i): f for i, f in enumerate(found[:limit], 1)})
+    assert got == want
+
+
+def test_first_hits_are_the_first_of_all_hits(spark):
+    rng = random.Random(5)
+    make = lambda: " ".join(rng.choice(["gare", "nord", "sud", "lyon", "paris", "ville"]) for _ in range(rng.randint(1, 3)))
+    names = [make() for _ in range(80)]
+    st = spark.createDataFrame([(f"u{i}", n, n, rng.choice(["", "paris", "lyon nord"]), f"{i:04}") for i, n in enumerate(names)],
+                               "uic string, name string, name_norm string, commune string, ord string")
+    aliases = spark.createDataFrame([("paris", "capitale"), ("lyon", "capitale")], "name_norm string, alias string")
+    asked = spark.createDataFrame([(make(),) for _ in range(30)] + [("capitale",), ("ar",), ("ille no",), ("x",)], "query string")
+    hits = {}
+    for r in G.search_cascade(asked, st, aliases).collect():
+        hits.setdefault(r.query, []).append((r.tier, r.ord, r.uic))
+    for limit in (1, 4):
+        got = {}
+        for r in G.search_cascade(asked, st, aliases, limit=limit).collect():
+            got.setdefault(r.query, []).append((r.tier, r.ord, r.uic))
+        assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:limit] for q, v in hits.items()}
+
+
+@pytest.mark.parametrize("k, threshold, pivots, block", [(1, -1.0, 256, 20_000), (3, 0.85, 9, 7), (2, 0.0, 1, 20_000), (4, 0.5, 3, 5), (1, 1.5, 4, 9)])
+def test_nearest_places_equal_brute_force(spark, k, threshold, pivots, block):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 5))
+    def vectors(n):
+        return [(centres[i % 6] + rng.normal(scale=0.2, size=5)).tolist() for i in range(n)]
+    # a third of the places are copies; some vectors are zero, missing or broken
+    places = [(f"p{i:03}", v) for i, v in enumerate(vectors(60) + [centres[0].tolist()] * 30 + [[0.0] * 5] * 2)]
+    queries = list(enumerate(vectors(40) + [centres[0].tolist(), [0.0] * 5]))
+    broken = [None, [1.0, None, 0.0, 0.0, 0.0], [float("nan")] * 5]
+    got = {(r.q, r.rank): (r.place, round(r.score, 9)) for r in nearest_places(
+        spark.createDataFrame(queries + [(100 + i, v) for i, v in enumerate(broken)], "q int, vec array<double>"),
+        spark.createDataFrame(places + [(f"x{i}", v) for i, v in enumerate(broken)], "place string, vec array<double>"),
+        k, threshold, pivots, block).collect()}
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    want = {}
+    for q, v in queries:
+        scored = sorted((-round(float(unit(v) @ unit(p)), 12), name) for name, p in places)
+        want.update({(q, i): (name, round(-s, 9) + 0.0) for i, (s, name) in enumerate(
+            [x for x in scored if -x[0] >= threshold][:k], 1)})
+    assert got == want
+
+
+def test_far_cells_are_ruled_out(spark):
+    pivots = np.eye(8)
+    rings = {i: (0.0, 0.1) for i in range(8)}
+    rows = spark.createDataFrame([(i, np.eye(8)[i].tolist()) for i in range(8)], "q int, vec array<double>")
+    assert {r.q: r.cells for r in reached_cells(rows, pivots, rings, 1, 0.85).collect()} == {i: [i] for i in range(8)}
+
+
+def test_nothing_is_near_in_empty_tables(spark):
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "q int, vec array<double>")
+    places = spark.createDataFrame([("a", [1.0, 0.0])], "place string, vec array<double>")
+    assert nearest_places(some, places.limit(0)).count() == 0
+    assert nearest_places(some.limit(0), places).count() == 0
+
+
+def test_postings_in_blocks(spark):
+    rows = [("hot", f"u{i:03}", f"{i:03}") for i in range(25)] + [("cold", "c", "000"), ("cold", "c", "000"), (None, "n", "001")]
+    got = sorted(((r.key or ""), r.block, r.n, r.uics) for r in G.postings(
+        spark.createDataFrame(rows, "key string, uic string, ord string"), 10).collect())
+    hot = [f"u{i:03}" for i in range(25)]
+    assert got == [("", 0, 1, ["n"]), ("cold", 0, 1, ["c"])] + [("hot", b, 25, hot[10 * b:10 * b + 10]) for b in range(3)]
