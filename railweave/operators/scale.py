@@ -126,21 +126,21 @@ def with_neighbour(ranged: DataFrame, group: str, position: str, tie: Sequence[s
                    carry: Sequence[str], offset: int, prefix: str) -> DataFrame:
     """Add the previous (-1) or next (+1) row's ``carry`` columns along ``position``.
 
-    ``ranged`` comes from ``in_ranges``.  The window runs inside (group, range); the row at
-    the edge of a range takes its neighbour from a small table of range ends.
+    ``ranged`` comes from ``in_ranges``.  The window runs inside (group, range).  Ranges follow each other, so
+    only the group at the edge of a range goes on in the next one: the outermost row of each range, one row
+    per range, is all that has to cross.
     """
     order = [position, *tie]
     shift = F.lag if offset < 0 else F.lead
     row = F.struct(*order, *[c for c in carry if c not in order])
     near = ranged.withColumn("_near", shift(row).over(
         Window.partitionBy(group, "_range").orderBy(*order)))
-    ends = ranged.groupBy(group, "_range").agg((F.max if offset < 0 else F.min)(row).alias("_end"))
-    across = ends.select(
-        F.col(group).alias("_group"), F.col("_range").alias("_of"),
-        shift("_end").over(Window.partitionBy(group).orderBy("_range")).alias("_across"))
-    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of"))
-    value = F.coalesce("_near", "_across")
-    return near.join(across, same).select(
+    outermost = F.struct(F.col(group).alias("group"), row.alias("row"))
+    ends = ranged.groupBy("_range").agg((F.max if offset < 0 else F.min)(outermost).alias("_end"))
+    across = ends.select("_range", shift("_end").over(Window.orderBy("_range")).alias("_across"))
+    value = F.coalesce("_near", F.when(
+        F.col("_across.group").eqNullSafe(F.col(group)), F.col("_across.row")))
+    return near.join(F.broadcast(across), "_range").select(
         *ranged.columns, *[value[c].alias(prefix + c) for c in carry])
 
 

@@ -44,3 +44,16 @@ def test_resets_inside_one_busy_second(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "g string, p int, i int")
     assert scale.with_neighbour(scale.in_ranges(df, "g", "p", ["i"]), "g", "p", ["i"], ["i"], 1, "n_").count() == 0
+
+
+def test_neighbours_need_no_second_shuffle(spark):
+    df = spark.createDataFrame([(f"g{i % 3}", i, i) for i in range(30)], "g string, p int, i int")
+    ranged = scale.in_ranges(df, "g", "p", ["i"], ranges=5)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = scale.with_neighbour(ranged, "g", "p", ["i"], ["i"], 1, "n_")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" not in plan
