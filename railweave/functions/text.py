@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,28 +206,33 @@ def tokenize(text: Column, config: CleanConfig = CleanConfig()) -> Column:
     return words(clean_text(text, config))
 
 
-@F.pandas_udf(_SPANS)
-def token_spans(text: pd.Series, tokens: pd.Series) -> pd.Series:
+@F.arrow_udf(_SPANS)
+def token_spans(text: pa.Array, tokens: pa.Array) -> pa.Array:
     """Character span of each token, searched left to right.
 
     A fold over a Spark array copies the array at each step, which is quadratic on
-    long documents, so this linear scan runs in Arrow batches.
+    long documents, so this linear scan runs in Arrow batches.  Only one row at a time
+    is held as Python objects; its spans go to flat columns of integers.
     """
-
-    def spans(value, parts):
-        if value is None or parts is None:
-            return None
-        found, at = [], 0
-        for part in parts:
+    starts, ends, offsets, missing = array("i"), array("i"), array("i", [0]), []
+    for value, parts in zip(text, tokens):
+        value, parts = value.as_py(), parts.as_py()
+        missing.append(value is None or parts is None)
+        at = 0
+        for part in [] if missing[-1] else parts:
             start = value.find(part, at)
             if start < 0:
-                found.append((at, at + len(part)))
+                starts.append(at)
+                ends.append(at + len(part))
             else:
                 at = start + len(part)
-                found.append((start, at))
-        return [{"start": s, "end": e} for s, e in found]
-
-    return pd.Series([spans(v, p) for v, p in zip(text, tokens)], dtype=object)
+                starts.append(start)
+                ends.append(at)
+        offsets.append(len(starts))
+    spans = pa.StructArray.from_arrays(
+        [pa.array(np.frombuffer(c, np.int32) if c else [], pa.int32()) for c in (starts, ends)], ["start", "end"])
+    return pa.ListArray.from_arrays(
+        pa.array(np.frombuffer(offsets, np.int32)), spans, mask=pa.array(missing, pa.bool_()))
 
 
 def clean_artifacts(text: Column) -> Column:

@@ -157,3 +157,25 @@ def test_ngram_language_in_place_equals_join(spark):
         assert [s.score for s in near[i]] == pytest.approx([s.score for s in far[i]])
     found = {r.id: r.label for r in ngram_language.detect_languages(docs, profiles, "id").collect()}
     assert (found[1], found[2], found[3], found[5]) == ("FRENCH", "ENGLISH", "UNKNOWN", "UNKNOWN")
+
+
+def test_token_spans_of_missing_rows_and_other_tokens(spark):
+    rows = [(None, ["a"]), ("a b", None), ("", []), ("x\u00e9\U0001f600 b", ["x\u00e9\U0001f600", "zz", "b"])]
+    df = spark.createDataFrame(rows, "t string, tok array<string>").coalesce(1)
+    got = [r[0] if r[0] is None else [tuple(s) for s in r[0]] for r in df.select(text.token_spans("t", "tok")).collect()]
+    assert got == [None, None, [], [(0, 3), (3, 5), (4, 5)]]
+
+
+def test_token_spans_hold_little(spark):
+    """A batch of many long texts is scanned row by row, without a Python object for each token and span."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    tokens = ["ab"] * 2000
+    texts, lists = pa.array([" ".join(tokens)] * 200), pa.array([tokens] * 200)
+    tracemalloc.start()
+    got = text.token_spans.func(texts, lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 200 and peak < 20_000_000
