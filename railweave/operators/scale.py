@@ -43,6 +43,15 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for joins by shuffles on both sides.
+
+    Spark decides for a broadcast by the size of the files, which are compressed: names and keys that rise
+    take a tenth of what they take in memory, so a table of a million rows would go through the driver.
+    """
+    return df.hint("merge")
+
+
 def hash_key(seed: int, *parts: Column) -> Column:
     """A repeatable, engine-neutral random sort key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
