@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from railweave.catalog import query, table
@@ -13,15 +14,24 @@ from railweave.operators.scale import Stage
 from railweave.sources import readers
 
 
-def array_file(rows, key, spark):
-    """``rows`` as one JSON array in one file, in the order of ``key``; the path of the file."""
-    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+FILE_ROWS = 200_000  # rows of one JSON array
+
+
+def array_files(rows, key, spark, file_rows=FILE_ROWS):
+    """``rows`` as JSON arrays of about ``file_rows`` rows, one to a file, each in the order of ``key``; their folder.
+
+    Rows of one key share a file, so no task holds more than a few files, however many rows there are.
+    """
+    files = max(1, -(-rows.count() // file_rows))
     body = F.to_json(F.struct(*[c for c in rows.columns if c != key]))
-    text = F.concat(F.when(F.col(key) == F.col("low"), "[").otherwise(""), body,
-                    F.when(F.col(key) == F.col("high"), "]").otherwise(","))
-    folder = f"{Stage(spark, 'array').root}/file"
-    rows.join(ends).select(key, text.alias("value")).repartition(1).sortWithinPartitions(key).select("value").write.text(folder)
-    return spark.read.text(folder).select("_metadata.file_path").first()[0]
+    tasks = max(2 * files, int(spark.conf.get("spark.sql.shuffle.partitions"))) if files > 1 else 1
+    dealt = rows.select(key, body.alias("body"), F.pmod(F.xxhash64(key), F.lit(files)).alias("part")).repartition(tasks, "part")
+    same = Window.partitionBy("part")
+    numbered = dealt.withColumns({"rn": F.row_number().over(same.orderBy(key)), "n": F.count(F.lit(1)).over(same)})
+    text = F.concat(F.when(F.col("rn") == 1, "[").otherwise(""), "body", F.when(F.col("rn") == F.col("n"), "]").otherwise(","))
+    folder = f"{Stage(spark, 'array').root}/files"
+    numbered.select("part", text.alias("value")).write.partitionBy("part").text(folder)
+    return folder
 
 
 def csv_folder(rows, spark):
@@ -32,25 +42,25 @@ def csv_folder(rows, spark):
 
 @query("passenger_file", """SELECT s_name AS nom, s_suppkey || ';' || (s_suppkey + 5000000) AS codes_uic, 42 + s_suppkey / 64::DOUBLE AS lat FROM supplier""")
 def passenger_file(spark, sf):
-    """A1: a JSON array of stations, read in byte ranges."""
+    """A1: JSON arrays of stations, read in byte ranges."""
     k = F.col("s_suppkey")
     rows = table(spark, sf, "supplier").select(
         k.alias("k"), F.col("s_name").alias("nom"), F.concat_ws(";", k, k + 5000000).alias("codes_uic"),
         F.struct((k / 128).alias("lon"), (42 + k / 64).alias("lat")).alias("position_geographique"))
-    got = readers.passenger_stations(spark, array_file(rows, "k", spark))
+    got = readers.passenger_stations(spark, array_files(rows, "k", spark))
     return got.select("nom", "codes_uic", F.col("position_geographique.lat").alias("lat"))
 
 
 @query("station_line_file", """SELECT l_suppkey::VARCHAR AS code_uic, l_orderkey::VARCHAR AS code_ligne, l_linenumber || '+' || lpad((l_quantity * 10)::INT::VARCHAR, 3, '0') AS pk,
   'O' AS voyageurs FROM lineitem""")
 def station_line_file(spark, sf):
-    """A2: every line item as a row of the station-line file."""
+    """A2: every line item as a row of the station-line files."""
     rows = table(spark, sf, "lineitem").select(
         F.monotonically_increasing_id().alias("key"), F.col("l_suppkey").cast("string").alias("code_uic"),
         F.col("l_orderkey").cast("string").alias("code_ligne"), F.lit("O").alias("voyageurs"),
         F.concat(F.col("l_linenumber"), F.lit("+"), F.lpad((F.col("l_quantity") * 10).cast("int").cast("string"), 3, "0")).alias("pk"))
     stored = Stage(spark, "rows").save(rows)  # the numbers are fixed once they are written
-    return readers.station_lines(spark, array_file(stored, "key", spark)).select("code_uic", "code_ligne", "pk", "voyageurs")
+    return readers.station_lines(spark, array_files(stored, "key", spark)).select("code_uic", "code_ligne", "pk", "voyageurs")
 
 
 @query("line_file", """SELECT o_orderkey::VARCHAR AS line, o_orderpriority = '1-URGENT' AS is_high_speed, 42 + o_orderkey % 64 / 64::DOUBLE AS first_lat,
@@ -63,7 +73,7 @@ def line_file(spark, sf):
         k.alias("k"), k.cast("string").alias("code_ligne"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "Ligne a grande vitesse").otherwise("Ligne").alias("lib_ligne"),
         F.struct(F.struct(points.alias("coordinates")).alias("geometry")).alias("geo_shape"))
-    got = N.line_attributes(readers.lines(spark, array_file(rows, "k", spark)))
+    got = N.line_attributes(readers.lines(spark, array_files(rows, "k", spark)))
     return got.select("line", "is_high_speed", F.col("geometry")[0][0].alias("first_lat"), F.col("geometry")[1][1].alias("last_lon"))
 
 
@@ -76,7 +86,7 @@ def trip_file(spark, sf):
         F.col("event_id").alias("k"), day.alias("date"), F.col("event_id").cast("string").alias("train_no"),
         F.col("event_type").alias("origine"))
     folder = f"{Stage(spark, 'trips').root}/days"
-    readers.ingest(readers.trips(spark, array_file(rows, "k", spark)), folder, "date")
+    readers.ingest(readers.trips(spark, array_files(rows, "k", spark)), folder, "date")
     last = rows.agg(F.max("date")).first()[0]
     kept = spark.read.option("basePath", folder).schema(readers.TRIPS).parquet(folder)
     return kept.filter(F.col("date") == last).select("date", "train_no", "origine")

@@ -1,4 +1,4 @@
-"""A data source for one large JSON array: byte ranges, each read by its own task.
+"""A data source for large JSON arrays, one to a file: byte ranges, each read by its own task.
 
 Spark's own reader takes a file whose array spans lines as one task.  Here the file is cut into ranges of
 ``split_bytes``; a task owns the objects that begin in its range.  Where an object begins is decided from the
@@ -10,6 +10,7 @@ per range.  Files must be on a path that all executors can open.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -25,10 +26,10 @@ _MARK = re.compile(rb'[\[\]{}"]')
 
 
 class Range(InputPartition):
-    """Bytes [low, high) of the file."""
+    """Bytes [low, high) of a file, the state they begin in, and the bytes of the files before it."""
 
-    def __init__(self, low: int, high: int):
-        super().__init__((low, high))
+    def __init__(self, path: str, low: int, high: int, depth: int, inside: bool, before: int):
+        super().__init__((path, low, high, depth, inside, before))
 
 
 def _quoted_end(data: bytes, at: int) -> int:
@@ -106,23 +107,27 @@ def cuts(path: str, split_bytes: int) -> list[int]:
 
 
 class ArrayReader(DataSourceReader):
+    """Options: ``path`` and ``states``, the (range, depth, inside) of one file, or ``files``, several (path, states)."""
+
     def __init__(self, schema: T.StructType, options: dict[str, str]):
-        self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
-        self.states = json.loads(options["states"])
-        self.at = {tuple(b): (d, q) for b, d, q in self.states}
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        files = json.loads(options["files"]) if "files" in options else [(options["path"], json.loads(options["states"]))]
+        self.ranges, before = [], 0
+        for path, states in files:
+            self.ranges += [Range(path, low, high, depth, inside, before) for (low, high), depth, inside in states]
+            before += states[-1][0][1]
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(*b) for b, _, _ in self.states]
+        return self.ranges
 
     def read(self, partition: Range) -> Iterator[tuple[str, int]]:
-        low, high = partition.value
-        depth, inside = self.at[low, high]
-        data = _piece(self.path, low, high)
+        path, low, high, depth, inside, before = partition.value
+        data = _piece(path, low, high)
         at = _first_object(data, inside, depth)
         if at < 0:
             return
         decoder = json.JSONDecoder()
-        size = os.path.getsize(self.path)
+        size = os.path.getsize(path)
         end = high
         while 0 <= at < high - low:
             # an object is short as a rule; the last one may run on into the next ranges
@@ -139,10 +144,10 @@ class ArrayReader(DataSourceReader):
                     if end >= size:
                         raise
                     more = min(size, end + max(self.split, 1 << 16))
-                    data += _piece(self.path, end, more)
+                    data += _piece(path, end, more)
                     end, width = more, width * 4
             body = text[:length]
-            yield body, low + at
+            yield body, before + low + at
             at += len(body.encode("utf-8"))
             rest = re.compile(rb"[\s,]*").match(data, at).end()
             at = rest if data[rest:rest + 1] == b"{" else -1
@@ -160,34 +165,51 @@ class ArraySource(DataSource):
         return ArrayReader(schema, self.options)
 
 
-def read_array(spark: SparkSession, path: str, schema: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Rows of a JSON array of objects with ``ord``, which rises along the file (the byte an object begins at).
+def array_paths(path: str) -> list[str]:
+    """The files of ``path``, a file or a folder, if each is plain text that begins an array; else none."""
+    local = re.sub("^file:(//)?", "", path)
+    if os.path.isfile(local):
+        return [local]
+    found = [os.path.join(folder, name) for folder, _, names in os.walk(local) for name in names if name[0] not in "._"]
+
+    def begins(file: str) -> bool:
+        with open(file, "rb") as data:
+            return data.read(1 << 10).lstrip().startswith(b"[")
+
+    return sorted(found) if all(map(begins, found)) else []
 
-    ``path`` is a local path or file: URI.  An empty array gives no rows; fields that a row lacks are null.
+
+def read_array(spark: SparkSession, path: str | list[str], schema: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Rows of JSON arrays of objects with ``ord``, which rises along the files (the byte an object begins at).
+
+    ``path`` is a local path or file: URI, or a list of them, one array in each.  An empty array gives no rows;
+    fields that a row lacks are null.
     """
-    local = re.sub("^file:(//)?", "", path)
-    borders = cuts(local, split_bytes)
-    ranges = [(a, b) for a, b in zip(borders, borders[1:]) if a < b]
-    asked = spark.createDataFrame([(a, b) for a, b in ranges], "low long, high long") if ranges else None
-    if asked is None:
+    paths = [re.sub("^file:(//)?", "", p) for p in ([path] if isinstance(path, str) else path)]
+    ranges = [(i, a, b) for i, local in enumerate(paths)
+              for borders in [cuts(local, split_bytes)] for a, b in zip(borders, borders[1:]) if a < b]
+    if not ranges:
         return spark.createDataFrame([], schema).withColumn("ord", F.lit(None).cast("bigint"))
+    asked = spark.createDataFrame(ranges, "file long, low long, high long")
 
     def states(rows):
         for frame in rows:
             out = []
-            for low, high in zip(frame["low"], frame["high"]):
-                data = _piece(local, int(low), int(high))
-                out.append((int(low), int(high), *scan(data, False), *scan(data, True)))
-            yield frame.__class__(out, columns=["low", "high", "plain", "plain_open", "quoted", "quoted_open"])
+            for file, low, high in zip(frame["file"], frame["low"], frame["high"]):
+                data = _piece(paths[int(file)], int(low), int(high))
+                out.append((int(file), int(low), int(high), *scan(data, False), *scan(data, True)))
+            yield frame.__class__(out, columns=["file", "low", "high", "plain", "plain_open", "quoted", "quoted_open"])
 
     found = asked.repartition(min(len(ranges), 200)).mapInPandas(
-        states, "low long, high long, plain long, plain_open boolean, quoted long, quoted_open boolean").collect()
-    depth, inside, starts = 0, False, []
-    for r in sorted(found, key=lambda r: r["low"]):
-        starts.append(((r["low"], r["high"]), depth, inside))
-        depth += r["quoted"] if inside else r["plain"]
-        inside = r["quoted_open"] if inside else r["plain_open"]
+        states, "file long, low long, high long, plain long, plain_open boolean, quoted long, quoted_open boolean").collect()
+    files = []
+    for file, group in itertools.groupby(sorted(found, key=lambda r: (r["file"], r["low"])), key=lambda r: r["file"]):
+        depth, inside, starts = 0, False, []
+        for r in group:
+            starts.append(((r["low"], r["high"]), depth, inside))
+            depth += r["quoted"] if inside else r["plain"]
+            inside = r["quoted_open"] if inside else r["plain_open"]
+        files.append((paths[file], starts))
     spark.dataSource.register(ArraySource)
-    raw = spark.read.format("json_array").option("path", local).option("split_bytes", split_bytes).option(
-        "states", json.dumps(starts)).load()
+    raw = spark.read.format("json_array").option("split_bytes", split_bytes).option("files", json.dumps(files)).load()
     return raw.select(F.from_json("value", schema).alias("row"), "ord").select("row.*", "ord")

@@ -7,14 +7,11 @@ it once (``ingest``) and read the Parquet copy.
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.functions.labels import map_intent_label, map_language_label
-from railweave.sources.json_array import read_array
+from railweave.sources.json_array import array_paths, read_array
 
 PASSENGER_STATIONS = (
     "nom string, libellecourt string, segment_drg string, "
@@ -36,13 +33,15 @@ REQUEST_LOG = (
     "timestamp string, input_text string, model_name string, duration_s double, "
     "cpu_percent_avg double, ram_peak_mb double, gpu_peak_mb double, carbon_kg double, "
     "output string, extra string")
+INGEST_SALTS = 16
 REPORT = "eval_type string, dataset string, samples bigint"
 
 
 def _array_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON array file with ``ord``, its row order."""
-    if os.path.isfile(re.sub("^file:(//)?", "", path)):
-        return read_array(spark, path, schema)
+    """JSON array file, or folder of such files, with ``ord``, the row order."""
+    paths = array_paths(path)
+    if paths:
+        return read_array(spark, paths, schema)
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
         "ord", F.monotonically_increasing_id())
 
@@ -69,7 +68,9 @@ def trips(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest(df: DataFrame, path: str, *partition_by: str) -> None:
     """Keep a splittable, columnar copy (A4: partitioned by ``date``)."""
-    writer = df.repartition(*partition_by).write if partition_by else df.write
+    # the rows of one value go to a few tasks, not to one
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(INGEST_SALTS))
+    writer = df.repartition(*partition_by, salt).write if partition_by else df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

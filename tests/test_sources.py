@@ -113,3 +113,29 @@ def test_array_in_byte_ranges(spark, tmp_path, split):
     for text in ("[]", ""):
         (tmp_path / "e.json").write_text(text)
         assert json_array.read_array(spark, str(tmp_path / "e.json"), "a int", split).count() == 0
+
+
+def test_folder_of_arrays(spark, tmp_path):
+    from railweave.catalog.files import array_files
+
+    rows = spark.range(1000).selectExpr("id AS k", "id AS n", "concat('a]', char(34), '{', id) AS t")
+    folder = array_files(rows, "k", spark, file_rows=100)
+    files = json_array.array_paths(folder)
+    assert len(files) > 5
+    sizes = [len(json.loads(open(f, encoding="utf-8").read())) for f in files]
+    assert sum(sizes) == 1000 and max(sizes) < 300
+    got = json_array.read_array(spark, files, "n long, t string", 64).orderBy("ord").collect()
+    want = [v for f in files for v in json.loads(open(f, encoding="utf-8").read())]
+    assert [(r.n, r.t) for r in got] == [(v["n"], v["t"]) for v in want]
+    assert readers.lines(spark, array_files(rows.selectExpr("k", "string(n) AS code_ligne"), "k", spark, 300)).count() == 1000
+
+
+def test_one_day_is_ingested_by_several_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("'2024-01-01' AS date", "string(id) AS train_no")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        readers.ingest(rows, str(tmp_path / "day"), "date")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = spark.read.parquet(str(tmp_path / "day"))
+    assert found.count() == 400 and found.select("_metadata.file_path").distinct().count() > 1
