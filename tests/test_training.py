@@ -211,3 +211,12 @@ def test_validation(spark):
 def test_noise_markers_are_cleaned_again(spark):
     df = spark.createDataFrame([(m + " Paris",) for m in N.MARKERS], "t string")
     assert {r[0] for r in df.select(clean_artifacts(F.col("t"))).collect()} == {"Paris"}
+
+
+def test_decoding_fits_the_labels_once_a_row(spark):
+    rows = [(["a", "b", "c", "d", "e"], ["B-DEP", "I-DEP", "O", "B-DEST", "I-DEST", "O"]), (["x"], ["I-DEP"]), ([], []), (None, ["O"])]
+    df = spark.createDataFrame(rows, "tokens array<string>, labels array<string>")
+    from railweave.functions import bio
+    out = df.select(bio.decode_slots(df["tokens"], df["labels"]).alias("d"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("slice(labels") == 1
+    assert [(r.d.departure, r.d.destination) if r.d else None for r in out.collect()[:3]] == [("a b", "d e"), (None, None), (None, None)]
