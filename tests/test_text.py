@@ -179,3 +179,16 @@ def test_token_spans_hold_little(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 200 and peak < 20_000_000
+
+
+def test_via_keywords_are_searched_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from railweave.functions import slots
+
+    rows = [("de Paris via DIJON puis Lyon", [("Paris", 3), ("Dijon", 13), ("Lyon", 24)]),
+            ("Paris, Dijon et Lyon", [("Paris", 0), ("Dijon", 7), ("Lyon", 16)]), (None, [("a", 0), ("b", 1), ("c", 2)])]
+    df = spark.createDataFrame(rows, "text string, mentions array<struct<text: string, start: int>>")
+    out = df.select(slots.roles_with_via(F.col("text"), F.col("mentions"))["intermediate"].alias("v"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+    assert [r.v for r in out.collect()] == [["Dijon"], ["Dijon"], ["b"]]
