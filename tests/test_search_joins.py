@@ -22,3 +22,17 @@ def test_search_first_broadcasts_no_table_that_grows(spark, station_table):
     assert "BroadcastHashJoin" not in plan
     assert {(r["query"], r["uic"]) for r in found.collect()} == {
         ("Gare 00007", "7"), ("00012", "12"), ("bis", "9"), ("Gare 00003 Nord", "3"), ("Ville 1", "1")}
+
+
+def test_names_that_share_a_pattern_meet_by_longer_pieces(spark):
+    names = [f"arret {i:09d}" for i in range(300)]
+    rest = ["00", "arr", "arret 00000001", "ret 000000123 x", "zz", "", "a"]
+    hays = [n + " bis" for n in names] + ["ar", "arret", "1", "", "a"]
+    ask = spark.createDataFrame([(n,) for n in names + rest], "needle string")
+    have = spark.createDataFrame([(h,) for h in hays], "hay string")
+    found = G.containment_pairs(ask, have)
+    got = [(r.needle, r.hay) for r in found.collect()]
+    assert sorted(got) == sorted((n, h) for n in names + rest for h in hays if n and n in h)
+    # a name of twelve digits and letters has a key that few others hold, not three digits out of a thousand
+    assert max(len(k) for (k,) in spark.createDataFrame([("arret 000000123",)], "needle string").select(
+        G.F.explode(G.pieces(G.F.col("needle"), G.F.lit(G.PIECE)))).collect()) == 8
