@@ -1,6 +1,7 @@
 """D11-D15 against brute force, and the search cascade's exact substring join."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -57,6 +58,40 @@ def test_bound_never_undercuts_the_score():
             assert L.weighted_ratio(query, word) <= bound[i] + 1e-6, (query, word)
 
 
+@pytest.mark.parametrize("letters,most", [("ab", 3), ("abcd", 5), ("abcdefgh", 2), ("aé", 8)])
+def test_pruned_block_top_is_exact(letters, most):
+    rng = random.Random(letters + "!")
+    names, queries = strings(rng, 150, letters, most), strings(rng, 40, letters, most) + ["", "zz", "a" * 70, "a  b"]
+    names = names + ["", " ", "b" * 80] + [f"line {'ab' * (i % 3)} east {i}" for i in range(300)]
+    block = L.NameBlock(names)
+    for query in queries + ["east 12", "line ab east", "lne abab east 77"]:
+        full = [L.weighted_ratio(query, n) for n in names]
+        for k, floor in ((1, 80.0), (5, -1.0), (10, 80.0), (1000, -1.0)):
+            want = sorted((-s, i) for i, s in enumerate(full) if s >= floor)[:k]
+            assert L._top_weighted(block, query, k, floor) == [(i, -s) for s, i in want], (query, k, floor)
+
+
+def test_few_names_scored_one_by_one(monkeypatch):
+    """What counts and lengths settle is not scored again: the old bound left every name with a common token."""
+    names = [f"{w} {v} small {i}" for i in range(400) for w in ("old", "large") for v in ("ring", "gear")]
+    scored, real = [], L.weighted_ratio
+    monkeypatch.setattr(L, "weighted_ratio", lambda *a, **k: scored.append(a) or real(*a, **k))
+    for query in ("old rng small 321", "small 77", "ring large"):
+        scored.clear()
+        L._top_weighted(L.NameBlock(names), query, 5)
+        assert len(scored) < len(names) / 2, (query, len(scored))
+
+
+def test_slices_follow_the_cores(spark):
+    """A few thousand pairs of one slice and one block used to be one task."""
+    q = spark.createDataFrame([(f"stop {i}",) for i in range(400)], "q string")
+    names = spark.createDataFrame([(f"stop {i}", f"{i:04d}") for i in range(300)], "name string, ord string")
+    top = L.fuzzy_top(q, names, "name", 1, "weighted")
+    cells = re.findall(r"hashpartitioning\(_slice#\d+L?, _block#\d+L?, (\d+)\)", top._jdf.queryExecution().toString())
+    assert cells and min(map(int, cells)) >= 8
+    assert all(r.name == r.q for r in top.collect() if int(r.q.split()[1]) < 300)
+
+
 def best_link(query):
     """The rule in plain Python: prefix, else the best of both top tens."""
     for name in NAMES:
