@@ -110,12 +110,17 @@ def hash_bucket(key: Column, digits: int = 2) -> Column:
 def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     """Give CPU-heavy work at least one task per core.
 
-    A large input already comes in many splits and is left alone; only an input of fewer
-    splits than cores, such as one small file, is dealt out.
+    A large input that already comes in many even splits is left alone.  Splits are cut by bytes, but a
+    file is read by whole row groups: of many splits of one file a single one may hold all rows.  So rows are
+    counted by split, which needs file footers only, and an input is dealt out if it has fewer splits than cores
+    or its fullest split holds more than 1.5 times the share of a core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
-        return df
+        splits = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+        fullest, rows = splits.agg(F.max("n"), F.sum("n")).first()
+        if rows is None or 2 * fullest * cores <= 3 * rows:
+            return df
     return df.repartition(cores * tasks_per_core)
 
 

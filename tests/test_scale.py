@@ -2,7 +2,10 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from railweave.operators import logs, scale
 
@@ -57,3 +60,32 @@ def test_neighbours_need_no_second_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "SortMergeJoin" not in plan
+
+
+def test_splits_without_rows_are_no_tasks(spark, tmp_path):
+    """One row group in a file of many splits is read by one task, so its rows are dealt out."""
+    rng = random.Random(5)
+    rows = pa.table({"i": list(range(4000)), "t": [rng.randbytes(60).hex() for _ in range(4000)]})
+    pq.write_table(rows, tmp_path / "whole.parquet")
+    pq.write_table(rows, tmp_path / "parts.parquet", row_group_size=200)
+    pq.write_table(rows.slice(0, 0), tmp_path / "none.parquet")
+    small = {"spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1k"}
+    held = {name: spark.conf.get(name) for name in small}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        whole = spark.read.parquet(str(tmp_path / "whole.parquet"))
+        assert whole.rdd.getNumPartitions() >= cores
+        dealt = scale.spread(whole)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= cores and max(sizes) < 4000 / cores
+        assert sorted(r.i for r in dealt.collect()) == list(range(4000))
+        parts = spark.read.parquet(str(tmp_path / "parts.parquet"))
+        assert parts.rdd.getNumPartitions() >= cores
+        assert scale.spread(parts) is parts  # even splits are not shuffled
+        none = spark.read.parquet(str(tmp_path / "none.parquet"))
+        assert scale.spread(none).count() == 0
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
